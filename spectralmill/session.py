@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,4 +20,25 @@ def build_session(app: str = "spectralmill", master: str | None = None, **settin
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | settings
-    return builder.config(map=defaults).getOrCreate()
+    spark = builder.config(map=defaults).getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home = Path(__file__).resolve().parent
+    if home.parent.suffix == ".zip":  # already runs from a shipped copy
+        return
+    target = Path(tempfile.mkdtemp(prefix="spectralmill-")) / "spectralmill-package.zip"
+    with zipfile.ZipFile(target, "w") as package:
+        for file in sorted(home.rglob("*.py")):
+            package.write(file, file.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(target))
