@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralmill.llm.distinctive import distinctive_terms
+from spectralmill.llm.leaks import find_leaks
+from spectralmill.llm.mixing import mix_sources
 from spectralmill.llm.term_counts import mark_terms, ngram_counts
+from spectralmill.llm.truncation import find_truncated, truncation_by_source
 from spectralmill.operators.counts import accumulate_spectra
 from spectralmill.scratch import Scratch
 
@@ -48,10 +51,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).where("mark <> 'useful'").select("kmer", "mark")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the mixture, with its rate and copies."""
+    return mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[0].where("copies > 0")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[1]
+    return shares.withColumn("actual_share", F.round("actual_share", 6))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(_read(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_by_source(find_truncated(_read(spark, sf_dir, "documents"))).withColumn("share", F.round("share", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_scores": p1_scores,
         "p5_found": p5_found,
         "p5_terms": p5_terms,
+        "p6_found": p6_found,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_sources": p8_sources,
     }

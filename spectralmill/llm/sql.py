@@ -36,5 +36,10 @@ def oracle_sql() -> dict[str, str]:
 ) SELECT label, kmer, count, round((count - e) / sqrt(e), 6) AS residual,
   round((count - e) / sqrt(e) / nullif(sqrt((1 - record_total / CAST(n AS DOUBLE)) * (1 - term_total / CAST(n AS DOUBLE))), 0), 6) AS adjusted_residual FROM expect""",
         "p5_found": f"{MARKED} SELECT kmer, mark FROM marked WHERE mark <> 'useful'",
+        "p6_found": """WITH item_words AS (SELECT item_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM eval_items),
+ doc_words AS (SELECT doc_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents),
+ item_runs AS (SELECT DISTINCT id AS item_id, lower(array_to_string(w[i : i + 19], ' ')) AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM item_words)),
+ doc_runs AS (SELECT DISTINCT id AS doc_id, lower(array_to_string(w[i : i + 19], ' ')) AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM doc_words))
+SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
         "p5_terms": f"{MARKED} SELECT kmer, non_zero, sum, mark FROM marked",
     }
