@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectralmill.llm.clusters import describe_groups, similar_groups
 from spectralmill.llm.distinctive import distinctive_terms
 from spectralmill.llm.leaks import find_leaks
 from spectralmill.llm.mixing import mix_sources
+from spectralmill.llm.neighbours import nearest_labels
 from spectralmill.llm.term_counts import mark_terms, ngram_counts
 from spectralmill.llm.truncation import find_truncated, truncation_by_source
 from spectralmill.operators.counts import accumulate_spectra
+from spectralmill.operators.vectors import latest_vectors
 from spectralmill.scratch import Scratch
 
+NEIGHBOURS, REACH = 5, 1.5
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -36,6 +41,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(strong).select(F.col("record").alias("label"), F.col("term").alias("kmer"))
 
 
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = Scratch(spark, "vectors").save(latest_vectors(_read(spark, sf_dir, "twisted")))
+    return nearest_labels(vectors, NEIGHBOURS, REACH)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _nearest(spark, sf_dir)
+    return near.select(F.least("label", "neighbour").alias("label_a"), F.greatest("label", "neighbour").alias("label_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest labels of every label, with their distances."""
+    return _nearest(spark, sf_dir)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "clusters")
+    vectors = scratch.save(latest_vectors(_read(spark, sf_dir, "twisted")))
+    return similar_groups(vectors, REACH, 32, scratch=scratch).where("mutual and size >= 5"), vectors
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[0].select(F.col("comp").alias("cluster_label"), "label")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical labels of every group."""
+    groups, vectors = _clusters(spark, sf_dir)
+    return describe_groups(groups, vectors, REACH, 32).withColumnRenamed("comp", "cluster_label")
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
     counts = ngram_counts(cells.select(F.col("label").alias("record"), F.array("kmer").alias("suffix"), F.col("count").alias("weight")))
@@ -77,6 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_scores": p1_scores,
+        "p2_found": p2_found,
+        "p2_neighbours": p2_neighbours,
+        "p3_found": p3_found,
+        "p3_groups": p3_groups,
         "p5_found": p5_found,
         "p5_terms": p5_terms,
         "p6_found": p6_found,

@@ -28,6 +28,24 @@ MARKED = f"""WITH {MARGINS}, marked AS (
 )"""
 
 
+VECTORS = f"""named AS (
+  SELECT {CLEAN_LABEL.format("label")} AS label, coords, run_no FROM twisted
+), usable AS (
+  SELECT * FROM named WHERE label IS NOT NULL AND len(coords) = 32
+    AND len(list_filter(coords, lambda x: x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(coords, lambda x: x <> 0)) > 0
+), latest AS (
+  SELECT label, max_by(coords, run_no) AS coords FROM usable GROUP BY label
+)"""
+
+NEAREST = f"""WITH {VECTORS}, vectors AS (
+  SELECT label, CAST(coords AS DOUBLE[32]) AS v FROM latest
+), pairs AS (
+  SELECT a.label AS label, b.label AS neighbour, round(array_distance(a.v, b.v), 6) AS distance FROM vectors a JOIN vectors b ON a.label <> b.label
+), ranked AS (
+  SELECT label, neighbour, distance, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rank FROM pairs WHERE distance <= 1.5
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {MARGINS} SELECT label, kmer FROM cells JOIN by_label USING (label) JOIN by_kmer USING (kmer), whole WHERE 25 * count >= record_total AND holders >= 2 AND 50 * holders <= labels",
@@ -35,6 +53,15 @@ def oracle_sql() -> dict[str, str]:
   SELECT label, kmer, count, record_total, term_total, n, record_total * (term_total / CAST(n AS DOUBLE)) AS e FROM cells JOIN by_label USING (label) JOIN by_kmer USING (kmer), whole
 ) SELECT label, kmer, count, round((count - e) / sqrt(e), 6) AS residual,
   round((count - e) / sqrt(e) / nullif(sqrt((1 - record_total / CAST(n AS DOUBLE)) * (1 - term_total / CAST(n AS DOUBLE))), 0), 6) AS adjusted_residual FROM expect""",
+        "p2_found": f"{NEAREST} SELECT DISTINCT least(label, neighbour) AS label_a, greatest(label, neighbour) AS label_b FROM ranked WHERE rank <= 5",
+        "p2_neighbours": f"{NEAREST} SELECT label, neighbour, CAST(rank AS INTEGER) AS rank, distance FROM ranked WHERE rank <= 5",
+        "p3_found": f"""WITH {VECTORS}, vectors AS (
+  SELECT label, CAST(coords AS DOUBLE[32]) AS v FROM latest
+), around AS (
+  SELECT a.label AS label, list(b.label ORDER BY b.label) AS near FROM vectors a JOIN vectors b ON array_distance(a.v, b.v) <= 1.5 GROUP BY a.label
+), same AS (
+  SELECT near, count(*) AS members FROM around GROUP BY near
+) SELECT near[1] AS cluster_label, unnest(near) AS label FROM same WHERE members = len(near) AND members >= 5""",
         "p5_found": f"{MARKED} SELECT kmer, mark FROM marked WHERE mark <> 'useful'",
         "p6_found": """WITH item_words AS (SELECT item_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM eval_items),
  doc_words AS (SELECT doc_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents),
