@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectralmill.functions.kmers import kmers
+from spectralmill.functions.kmers import canonical, kmers
 
 
 def count_kmers(sequences: DataFrame, k: int = 12, content: str = "DNA-ds", label: str | None = None) -> DataFrame:
@@ -16,4 +16,7 @@ def count_kmers(sequences: DataFrame, k: int = 12, content: str = "DNA-ds", labe
     operators leave out. Counting is partial in each task before the shuffle.
     """
     name = F.lit(label) if label is not None else F.col("tag")
-    return sequences.select(name.alias("label"), F.explode(kmers(F.col("seq"), k, content)).alias("kmer")).groupBy("label", "kmer").agg(F.count("*").alias("count"))
+    each = sequences.select(name.alias("label"), F.explode(kmers(F.col("seq"), k, content)).alias("kmer"))
+    if content == "DNA-ds":
+        each = each.withColumn("kmer", canonical(F.col("kmer")))
+    return each.groupBy("label", "kmer").agg(F.count("*").alias("count"))

@@ -1,28 +1,290 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables: one or more for each operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spectralmill.functions.cleaning import clean_kmer, clean_label, clean_source
+from spectralmill.functions.kmers import hash_hex
+from spectralmill.functions.space import Distance, Metric
+from spectralmill.operators import algebra, combine, distances, embeddings, fit, select, splits, workflows
+from spectralmill.operators.counts import accumulate_spectra
+from spectralmill.operators.distill import distill
+from spectralmill.operators.metadata import class_means, latest_metadata
+from spectralmill.operators.project import clean_twister, project_long
+from spectralmill.operators.sequences import count_kmers
+from spectralmill.operators.stats import count_statistics
+from spectralmill.operators.transforms import Transformation, transform_counts, zero_values
+from spectralmill.operators.vectors import latest_vectors
+from spectralmill.scratch import Scratch
 from spectralmill.sources.spectra_lines import load_lines, rejected_lines
+from spectralmill.sources.tables import counts_table, database_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
+DIMS = 32
+HOSTS = ["badger", "cattle", "human", "water"]
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejected_lines(read(spark, sf_dir, "spectra_lines"))
+class Tables:
+    """Inputs of the queries; frames that a query uses more than once are written once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.scratch = Scratch(spark, "query")
+
+    def table(self, name: str) -> DataFrame:
+        return read(self.spark, self.dir, name)
+
+    def cells(self) -> DataFrame:
+        return self.scratch.save(accumulate_spectra(self.table("spectra")))
+
+    def metadata(self) -> DataFrame:
+        return latest_metadata(self.table("metadata"))
+
+    def vectors(self) -> DataFrame:
+        return self.scratch.save(latest_vectors(self.table("twisted"), DIMS))
+
+    def classes(self) -> DataFrame:
+        return self.scratch.save(class_means(latest_vectors(self.table("twisted"), DIMS), self.metadata(), DIMS))
+
+    def weights(self, metric: Metric = Metric()) -> list[float]:
+        return embeddings.metric_vector(self.table("inertia"), metric)
+
+    def by_class(self, criterion: str = "mean") -> DataFrame:
+        return combine.combine_by_group(self.cells(), self.groups(), criterion)
+
+    def groups(self) -> DataFrame:
+        return self.metadata().select("label", F.col("class_name").alias("group"))
+
+    def parts(self) -> DataFrame:
+        """Counts of the order lines: suppliers as spectra, parts as k-mers."""
+        return self.table("lineitem").groupBy(F.col("l_suppkey").cast("string").alias("label"), F.col("l_partkey").cast("string").alias("kmer")).agg(F.sum("l_quantity").cast("bigint").alias("count"))
+
+    def suppliers(self) -> DataFrame:
+        return self.table("supplier").select(F.col("s_suppkey").cast("string").alias("label"), F.col("s_nationkey").cast("string").alias("group"))
+
+    def points(self) -> DataFrame:
+        """Embeddings as vectors labelled by their id."""
+        return self.table("embeddings").select(F.col("vec_id").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("coords"))
+
+    def point_classes(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").cast("string").alias("label"), F.col("label").cast("string").alias("class_name"))
+
+    def sequences(self, letters: str = LETTERS, bases: str = BASES) -> DataFrame:
+        """Texts read as sequences of bases, tagged by language."""
+        return self.table("documents").select(F.col("lang").alias("tag"), F.translate("text", letters, bases).alias("seq")).where("tag is not null")
+
+
+def _round(frame: DataFrame, digits: int, *names: str) -> DataFrame:
+    return frame.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _long(vectors: DataFrame, digits: int = 6) -> DataFrame:
+    return vectors.select("label", F.posexplode("coords").alias("dim", "value")).select("label", (F.col("dim") + 1).alias("dim"), F.round("value", digits).alias("value"))
+
+
+def _summary_rows(summaries: DataFrame) -> DataFrame:
+    rows = summaries.select("label", "mean", "stddev", "median", "mad", F.explode("neighbours").alias("n"))
+    return _round(rows.select("label", "mean", "stddev", "median", "mad", "n.rank", F.col("n.label").alias("neighbour"), "n.distance", "n.z"), 6, "mean", "stddev", "median", "mad", "distance", "z")
+
+
+def _stats(by: str, threshold: float, power: float) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(count_statistics(Tables(spark, sf_dir).cells(), by, threshold, power), 6, "sum", "sum_log")
+
+    return run
+
+
+def _transform(which: str, threshold: float, power: float, digits: int = 6) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(transform_counts(Tables(spark, sf_dir).cells(), Transformation(which, threshold, power)), digits, "value")
+
+    return run
+
+
+def _cross(distance: str, metric: str, normalise: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return _round(distances.cross_distances(t.vectors(), t.classes(), t.weights(Metric.parse(metric)), Distance.parse(distance), normalise), 6, "distance")
+
+    return run
+
+
+def _query(build: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
+
+
+def _selected(t: Tables) -> tuple[DataFrame, DataFrame]:
+    labels = select.all_labels(t.cells())
+    return labels, select.select_matching(labels, [("", "LB\\|QS"), ("host", "human\\|cattle")], t.metadata())
+
+
+def _nonnull_hosts(t: Tables) -> DataFrame:
+    return combine.combine_by_group(t.cells(), t.metadata().select("label", F.col("host").alias("group")))
+
+
+def _ca_values(t: Tables) -> DataFrame:
+    return t.scratch.save(t.by_class().select("label", "kmer", F.col("count").cast("double").alias("value")))
+
+
+def _ca_distances(t: Tables) -> DataFrame:
+    """Distances of classes in the full space of a fit, each dimension weighted by its principal inertia."""
+    values = _ca_values(t)
+    model = fit.fit_twister(values, normalise=False)
+    total = fit.gram_matrix(values).where("l1 = l2").agg(F.sum("g")).first()[0] - 1
+    weights = [r["value"] * total for r in model.inertia.orderBy("dim").collect()]
+    return _round(distances.triangular_distances(model.twisted, weights, Distance(), normalise=False), 6, "distance")
+
+
+def _ca_projection(t: Tables) -> DataFrame:
+    """Training spectra projected again, as the distance from the coordinates that the fit gave them."""
+    values = _ca_values(t)
+    model = fit.fit_twister(values)
+    again = project_long(values, model.twister)
+    first = model.twisted.select("label", F.posexplode("coords").alias("dim", "_c")).select("label", (F.col("dim") + 1).alias("dim"), "_c")
+    return again.join(first, ["label", "dim"]).groupBy("label").agg(F.round(F.max(F.abs(F.col("value") - F.col("_c"))), 6).alias("off"))
+
+
+def _means(t: Tables) -> tuple[DataFrame, list[float]]:
+    return t.classes(), t.weights()
+
+
+def _accuracy(t: Tables) -> DataFrame:
+    classes, weights = _means(t)
+    near = workflows.nearest_class(distances.summarise_rowwise(t.vectors(), classes, weights))
+    return workflows.accuracy(near, t.metadata().select("label", F.col("class_name").alias("true_class")))
+
+
+def _knn(t: Tables) -> DataFrame:
+    points = t.points()
+    near = distances.summarise_rowwise(points, points, [1.0 / 64] * 64, normalise=False, keep=6)
+    others = near.withColumn("neighbours", F.filter("neighbours", lambda n: n["label"] != F.col("label")))
+    return _round(workflows.knn_vote(others, t.point_classes(), 5), 6, "share")
+
+
+def _stored(t: Tables) -> DataFrame:
+    """Stored sums that differ from those of the counts."""
+    stored = t.table("load_stats").select(clean_label(F.col("label")).alias("label"), "batch", "sum").where("label is not null").groupBy("label").agg(F.max_by("sum", "batch").cast("bigint").alias("sum"))
+    computed = t.cells().groupBy("label").agg(F.sum("count").alias("sum"))
+    return workflows.compare_counts(stored, computed, "label", "sum")
+
+
+def _metadata_classes(t: Tables) -> DataFrame:
+    return t.metadata().where("class_name is not null")
+
+
+def _by_k(t: Tables) -> DataFrame:
+    sequences = t.sequences()
+    counted = [count_kmers(sequences, k, "DNA-ds").withColumn("k", F.lit(k)) for k in (3, 4, 5)]
+    return workflows.choose_k(counted[0].unionByName(counted[1]).unionByName(counted[2]))
 
-def p4_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid lines as (name, v) pairs with the label of their spectrum."""
-    return load_lines(read(spark, sf_dir, "spectra_lines"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_load": p4_load}
+    q = _query
+    return {
+        "p4_found": q(lambda t: rejected_lines(t.table("spectra_lines"))),
+        "p4_load": q(lambda t: load_lines(t.table("spectra_lines"))),
+        "spectra_accumulate": q(lambda t: accumulate_spectra(t.table("spectra"))),
+        "database_summary": q(lambda t: database_summary(t.cells(), t.metadata())),
+        "kmer_count_dna_ds": q(lambda t: count_kmers(t.sequences(), 5, "DNA-ds")),
+        "kmer_count_dna_ss": q(lambda t: count_kmers(t.sequences(), 5, "DNA-ss")),
+        "kmer_count_protein": q(lambda t: count_kmers(t.sequences("", ""), 3, "protein")),
+        "kmer_count_one_spectrum": q(lambda t: count_kmers(t.sequences(), 6, "DNA-ds", label="all")),
+        "kmer_hash_hex": q(lambda t: t.cells().select("kmer").distinct().select("kmer", hash_hex(F.col("kmer")).alias("code"))),
+        "col_stats": _stats("label", 2, 1),
+        "col_stats_relative": _stats("label", 0.01, 0.5),
+        "row_stats": _stats("kmer", 2, 1),
+        "row_stats_relative": _stats("kmer", 0.01, 0.5),
+        "transform_binary": _transform("binary", 3, 1),
+        "transform_power": _transform("power", 2, 0.5),
+        "transform_power_relative": _transform("power", 0.01, 1),
+        "transform_clr": _transform("clr", 1, 1),
+        "transform_clr_zeros": q(lambda t: _round(zero_values(t.cells(), Transformation("clr", 1, 1)), 6, "value")),
+        "transform_pseudo_zero": _transform("pseudocounts", 1, 0, 9),
+        "transform_pseudo_half": _transform("pseudocounts", 2, 0.5, 9),
+        "transform_pseudo_two": _transform("pseudocounts", 3, 2, 9),
+        "select_labels": q(lambda t: select.select_labels(select.all_labels(t.cells(), t.metadata()), ["POOL-ENV-01", "no such label"])),
+        "select_matching": q(lambda t: _selected(t)[1]),
+        "select_negated": q(lambda t: select.negate_selection(*_selected(t))),
+        "remove_selected": q(lambda t: select.remove_selected(t.cells(), _selected(t)[1]).groupBy("label").agg(F.count("*").alias("kmers"))),
+        "nonzero_kmers": q(lambda t: select.nonzero_kmers(t.cells(), 50)),
+        "table_pivot": q(lambda t: counts_table(_nonnull_hosts(t), "count", HOSTS)),
+        "combine_mean_by_class": q(lambda t: t.by_class()),
+        "combine_median_by_class": q(lambda t: t.by_class("median")),
+        "combine_selected": q(lambda t: combine.combine_selected(t.cells(), _selected(t)[1], "combined").where("label = 'combined'")),
+        "combine_metadata": q(lambda t: combine.combine_metadata(t.metadata().select("label", "host", "site"), t.groups())),
+        "class_indicator": q(lambda t: combine.class_indicator(_metadata_classes(t), "class_name")),
+        "distill": q(lambda t: _distilled(t)),
+        "ca_gram": q(lambda t: _round(fit.gram_matrix(_ca_values(t)), 6, "g")),
+        "ca_masses": q(lambda t: _round(fit.column_masses(_ca_values(t)), 9, "mass")),
+        "ca_distances": q(_ca_distances),
+        "ca_projection": q(_ca_projection),
+        "kmers_threshold": q(lambda t: fit.threshold_kmers(_ca_values(t), 0.1).groupBy("kmer").agg(F.count("*").alias("spectra"))),
+        "kmers_normalised": q(lambda t: _round(fit.normalise_spectra(_ca_values(t)), 9, "value")),
+        "project_spectra": q(lambda t: _round(project_long(t.cells(), clean_twister(t.table("twister"), clean_kmer(F.col("kmer")))), 6, "value")),
+        "metric_flat": q(lambda t: _round(embeddings.metric_table(t.table("inertia"), Metric.parse("flat")), 9, "weight")),
+        "metric_powers": q(lambda t: _round(embeddings.metric_table(t.table("inertia"), Metric.parse("powers(1,0.8,2)")), 9, "weight")),
+        "vector_norms": q(lambda t: _round(embeddings.norms(t.vectors(), t.weights()), 6, "norm")),
+        "embeddings_scaled": q(lambda t: _long(embeddings.embed(t.vectors(), t.weights(Metric.parse("flat")), Distance.parse("minkowski(3)"), normalise=False))),
+        "embeddings_normalised": q(lambda t: _long(embeddings.embed(t.vectors(), t.weights()))),
+        "dist_euclidean": _cross("euclidean", "powers(1,1,2)", True),
+        "dist_cosine": _cross("cosine", "powers(1,1,2)", True),
+        "dist_minkowski": _cross("minkowski(3)", "flat", False),
+        "dist_self_triangular": q(lambda t: _round(distances.triangular_distances(*_means(t)), 6, "distance")),
+        "spectral_distances": q(lambda t: _class_spectra_distances(t)),
+        "summary_nearest": q(lambda t: _summary_rows(distances.summarise_rowwise(t.vectors(), *_means(t)))),
+        "summary_of_distances": q(lambda t: _summary_rows(distances.summarise_distances(t.scratch.save(distances.cross_distances(t.vectors(), *_means(t))), 3))),
+        "nearest_class": q(lambda t: _round(workflows.nearest_class(distances.summarise_rowwise(t.vectors(), *_means(t))), 6, "distance")),
+        "classification_accuracy": q(_accuracy),
+        "knn_vote": q(_knn),
+        "related_300": q(lambda t: _summary_rows(distances.summarise_rowwise(t.points(), t.points(), [1.0 / 64] * 64, normalise=False, keep=300)).select("label", "rank", "neighbour", "distance")),
+        "gaps_splits": q(lambda t: _round(splits.gaps(t.vectors()), 6, "gap")),
+        "gaps_members": q(lambda t: splits.split_members(t.classes(), splits.gaps(t.classes(), 100))),
+        "centroid_splits": q(lambda t: splits.centroids(t.classes(), seed=5).select("split_id", "weight", F.size("members").alias("members"))),
+        "band_join_pairs": q(lambda t: _round(distances.band_pairs(t.table("part"), 0.05, "p_partkey", "p_retailprice"), 6, "distance")),
+        "coordinate_range": q(lambda t: distances.coordinate_range(t.table("part"), "p_retailprice")),
+        "matrix_transpose": q(lambda t: _round(algebra.transpose(algebra.to_long(t.classes())), 6, "value")),
+        "matrix_merge_rows": q(lambda t: _long(algebra.merge_rows(t.vectors(), t.classes()))),
+        "matrix_vector": q(lambda t: _round(algebra.multiply_vector(algebra.to_long(t.vectors()), t.table("inertia").select(F.col("name").alias("col"), "value")), 6, "value")),
+        "matrix_product": q(lambda t: _product(t)),
+        "label_difference": q(lambda t: algebra.label_difference(t.cells(), t.metadata())),
+        "label_union": q(lambda t: algebra.label_union(t.cells(), t.metadata())),
+        "train_test_split": q(lambda t: workflows.train_test_split(_metadata_classes(t).select("label", "class_name"), "class_name")),
+        "dedup_first": q(lambda t: workflows.first_of_name(t.table("documents").select("doc_id", "file_path", "crawled_at"), "file_path", [F.asc("crawled_at"), F.asc("doc_id")]).select("doc_id", "file_path")),
+        "count_by_class": q(lambda t: workflows.count_by_class(t.metadata(), "class_name")),
+        "compare_stored_sums": q(_stored),
+        "name_join": q(lambda t: workflows.join_by_name(t.table("documents").select("doc_id", clean_source(F.col("source")).alias("name")), t.table("mix_targets").select(F.col("source").alias("name"), "max_repeats"))),
+        "choose_k": q(lambda t: _round(_by_k(t), 6, "score")),
+        "filter_reads": q(lambda t: workflows.filter_reads(t.table("documents").select(F.col("doc_id").alias("tag"), F.col("text").alias("seq")), _segments(t))),
+    }
+
+
+def _distilled(t: Tables) -> DataFrame:
+    table = distill(t.scratch.save(t.parts()), t.suppliers())
+    return _round(table, 9, *(c for c in table.columns if c != "kmer"))
+
+
+def _class_spectra_distances(t: Tables) -> DataFrame:
+    spectra = t.scratch.save(t.by_class())
+    labels = spectra.select("label").distinct()
+    return _round(distances.spectral_distances(spectra, labels, labels), 6, "distance")
+
+
+def _product(t: Tables) -> DataFrame:
+    matrix = algebra.to_long(t.classes())
+    return _round(algebra.multiply(matrix, algebra.transpose(matrix)), 6, "value")
+
+
+def _segments(t: Tables) -> DataFrame:
+    """Pieces of 25 signs of the item texts, as targets of reads."""
+    starts = F.sequence(F.lit(1), F.length("text") - 24, F.lit(1))
+    return t.table("eval_items").where("length(text) >= 25").select(F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(25)))).alias("segment"))

@@ -11,17 +11,8 @@ from spectralmill.errors import DuplicateField, IncompatibleArchiveVersion, Mism
 from spectralmill.functions.cleaning import clean_label
 
 VERSION = "1"
-#: fixed values: matrix types and the suffixes of their files, see path_of for a tool's own
-SUFFIXES = {
-    "distill": "distill",
-    "twister": "twister",
-    "inertia": "inertia",
-    "metrics": "metrics",
-    "twisted": "twisted",
-    "vectors": "vectors",
-    "dmatrix": "dmatrix",
-}
-COUNTER_SUFFIX, SPECTRA_SUFFIX, SUMMARY_SUFFIX, SPLITS_SUFFIX = "counter", "spectra.txt", "summary.txt", "splits"
+#: fixed values: the types of matrices
+MATRIX_TYPES = ("distill", "twister", "inertia", "metrics", "twisted", "vectors", "dmatrix")
 
 
 def path_of(prefix: str, suffix: str, family: str = "") -> str:
@@ -122,7 +113,7 @@ def read_archive(spark: SparkSession, path: str, kind: str) -> dict[str, DataFra
 
 
 def matrix_type(name: str) -> str:
-    if name not in SUFFIXES:
+    if name not in MATRIX_TYPES:
         raise UnknownType(name)
     return name
 
