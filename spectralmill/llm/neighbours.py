@@ -140,6 +140,31 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a run of rows equal in ``keys`` ends; input sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        last = batch.num_rows - 1
+        same = np.ones(batch.num_rows, bool)
+        for k in keys:
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            same &= values == values[last]
+        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if held and (cut or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
+            if any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _compare_leaves(k: int, leaf: int, reach: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)

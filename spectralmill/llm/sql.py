@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-CLEAN_LABEL = """CASE WHEN length(trim({0}, ' ' || chr(9) || chr(10) || chr(13))) >= 2 AND starts_with(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '"') AND ends_with(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '"')
-  THEN substr(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), 2, length(trim({0}, ' ' || chr(9) || chr(10) || chr(13))) - 2) ELSE trim({0}, ' ' || chr(9) || chr(10) || chr(13)) END"""
-
-CELLS = f"""raw AS (
-  SELECT {CLEAN_LABEL.format("label")} AS label, upper(trim(kmer)) AS k, count AS c, batch FROM spectra
-), valid AS (
-  SELECT DISTINCT label, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, c, batch FROM raw WHERE label IS NOT NULL AND k IS NOT NULL AND c > 0
-), cells AS (
-  SELECT label, kmer, CAST(sum(c) AS BIGINT) AS count FROM valid GROUP BY label, kmer
-)"""
+from spectralmill.plans.sql import CELLS, VECTORS
 
 MARGINS = f"""{CELLS}, by_label AS (
   SELECT label, CAST(sum(count) AS BIGINT) AS record_total FROM cells GROUP BY label
@@ -28,15 +19,6 @@ MARKED = f"""WITH {MARGINS}, marked AS (
 )"""
 
 
-VECTORS = f"""named AS (
-  SELECT {CLEAN_LABEL.format("label")} AS label, coords, run_no FROM twisted
-), usable AS (
-  SELECT * FROM named WHERE label IS NOT NULL AND len(coords) = 32
-    AND len(list_filter(coords, lambda x: x IS NOT NULL AND isfinite(x))) = 32 AND len(list_filter(coords, lambda x: x <> 0)) > 0
-), latest AS (
-  SELECT label, max_by(coords, run_no) AS coords FROM usable GROUP BY label
-)"""
-
 NEAREST = f"""WITH {VECTORS}, vectors AS (
   SELECT label, CAST(coords AS DOUBLE[32]) AS v FROM latest
 ), pairs AS (
