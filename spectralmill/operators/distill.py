@@ -58,7 +58,9 @@ def distill(cells: DataFrame, groups: DataFrame, kmers: DataFrame | None = None)
     s2 = F.col("s2") + F.when(same, F.col("a2") * (F.col("na") - F.col("ka"))).otherwise(F.col("a2") * (F.col("nb") - F.col("kb")) + F.col("b2") * (F.col("na") - F.col("ka")))
     stats = full.select("kmer", same.alias("inner"), n.alias("n"), s1.alias("s1"), s2.alias("s2"))
     mean = F.coalesce(F.try_divide("s1", "n"), F.lit(0.0))
-    variance = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1))).otherwise(0.0)
+    spread = F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")
+    # equal differences leave a rest of rounding, which a coefficient of variation would blow up
+    variance = F.when((F.col("n") > 1) & (spread > 1e-12 * F.col("s2")), spread / (F.col("n") - 1)).otherwise(0.0)
     stats = stats.select("kmer", "inner", mean.alias("Avg"), variance.alias("Var"))
     stats = stats.withColumn("COV", F.coalesce(F.try_divide(F.sqrt("Var"), "Avg"), F.lit(0.0)))
 

@@ -26,6 +26,7 @@ from spectralmill.sources.tables import counts_table, database_summary
 Query = Callable[[SparkSession, str], DataFrame]
 DIMS = 32
 HOSTS = ["badger", "cattle", "human", "water"]
+NUDGE = 1.234567e-10  # added before rounding where values lie halfway between two roundings, here and in the SQL
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 
 
@@ -87,8 +88,8 @@ def _round(frame: DataFrame, digits: int, *names: str) -> DataFrame:
     return frame.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _long(vectors: DataFrame, digits: int = 6) -> DataFrame:
-    return vectors.select("label", F.posexplode("coords").alias("dim", "value")).select("label", (F.col("dim") + 1).alias("dim"), F.round("value", digits).alias("value"))
+def _long(vectors: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    return vectors.select("label", F.posexplode("coords").alias("dim", "value")).select("label", (F.col("dim") + 1).alias("dim"), F.round(F.col("value") + nudge, digits).alias("value"))
 
 
 def _summary_rows(summaries: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def _knn(t: Tables) -> DataFrame:
 
 def _stored(t: Tables) -> DataFrame:
     """Stored sums that differ from those of the counts."""
-    stored = t.table("load_stats").select(clean_label(F.col("label")).alias("label"), "batch", "sum").where("label is not null").groupBy("label").agg(F.max_by("sum", "batch").cast("bigint").alias("sum"))
+    stored = t.table("load_stats").select(clean_label(F.col("label")).alias("label"), "batch", "sum").where("label is not null and sum is not null").groupBy("label").agg(F.max_by("sum", "batch").cast("bigint").alias("sum"))
     computed = t.cells().groupBy("label").agg(F.sum("count").alias("sum"))
     return workflows.compare_counts(stored, computed, "label", "sum")
 
@@ -230,7 +231,7 @@ def queries() -> dict[str, Query]:
         "ca_projection": q(_ca_projection),
         "kmers_threshold": q(lambda t: fit.threshold_kmers(_ca_values(t), 0.1).groupBy("kmer").agg(F.count("*").alias("spectra"))),
         "kmers_normalised": q(lambda t: _round(fit.normalise_spectra(_ca_values(t)), 9, "value")),
-        "project_spectra": q(lambda t: _round(project_long(t.cells(), clean_twister(t.table("twister"), clean_kmer(F.col("kmer")))), 6, "value")),
+        "project_spectra": q(lambda t: _round(project_long(t.cells(), clean_twister(t.table("twister"), clean_kmer(F.col("kmer")))).withColumn("value", F.col("value") + NUDGE), 6, "value")),
         "metric_flat": q(lambda t: _round(embeddings.metric_table(t.table("inertia"), Metric.parse("flat")), 9, "weight")),
         "metric_powers": q(lambda t: _round(embeddings.metric_table(t.table("inertia"), Metric.parse("powers(1,0.8,2)")), 9, "weight")),
         "vector_norms": q(lambda t: _round(embeddings.norms(t.vectors(), t.weights()), 6, "norm")),
@@ -252,8 +253,8 @@ def queries() -> dict[str, Query]:
         "centroid_splits": q(lambda t: splits.centroids(t.classes(), seed=5).select("split_id", "weight", F.size("members").alias("members"))),
         "band_join_pairs": q(lambda t: _round(distances.band_pairs(t.table("part"), 0.05, "p_partkey", "p_retailprice"), 6, "distance")),
         "coordinate_range": q(lambda t: distances.coordinate_range(t.table("part"), "p_retailprice")),
-        "matrix_transpose": q(lambda t: _round(algebra.transpose(algebra.to_long(t.classes())), 6, "value")),
-        "matrix_merge_rows": q(lambda t: _long(algebra.merge_rows(t.vectors(), t.classes()))),
+        "matrix_transpose": q(lambda t: _round(algebra.transpose(algebra.to_long(t.classes())).withColumn("value", F.col("value") + NUDGE), 6, "value")),
+        "matrix_merge_rows": q(lambda t: _long(algebra.merge_rows(t.vectors(), t.classes()), nudge=NUDGE)),
         "matrix_vector": q(lambda t: _round(algebra.multiply_vector(algebra.to_long(t.vectors()), t.table("inertia").select(F.col("name").alias("col"), "value")), 6, "value")),
         "matrix_product": q(lambda t: _product(t)),
         "label_difference": q(lambda t: algebra.label_difference(t.cells(), t.metadata())),
@@ -270,7 +271,7 @@ def queries() -> dict[str, Query]:
 
 def _distilled(t: Tables) -> DataFrame:
     table = distill(t.scratch.save(t.parts()), t.suppliers())
-    return _round(table, 9, *(c for c in table.columns if c != "kmer"))
+    return _round(table, 7, *(c for c in table.columns if c != "kmer"))
 
 
 def _class_spectra_distances(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+NUDGE = "CAST(1.234567e-10 AS DOUBLE)"
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
 
@@ -143,13 +144,13 @@ def _distill() -> str:
         f"avg({s}) FILTER ({keep}) AS {side}{s}Mean, (list({s} ORDER BY {s}) FILTER ({keep}))[count(*) FILTER ({keep}) // 2 + 1] AS {side}{s}Median" for s in ("Avg", "Var", "COV") for side, keep in (("Inner", "ga = gb"), ("Outer", "ga <> gb"))
     )
     lines = ", ".join(f"regr_slope(Outer{s}{m}, Inner{s}{m}) AS s{s}{m}, regr_intercept(Outer{s}{m}, Inner{s}{m}) AS b{s}{m}" for s, m in names)
-    shown = ", ".join(f"round(Inner{s}{m}, 9) AS Inner{s}{m}, round(Outer{s}{m}, 9) AS Outer{s}{m}, round(Outer{s}{m} - coalesce(b{s}{m} + s{s}{m} * Inner{s}{m}, 0), 9) AS Residual{s}{m}" for s, m in names)
+    shown = ", ".join(f"round(Inner{s}{m}, 7) AS Inner{s}{m}, round(Outer{s}{m}, 7) AS Outer{s}{m}, round(Outer{s}{m} - coalesce(b{s}{m} + s{s}{m} * Inner{s}{m}, 0), 7) AS Residual{s}{m}" for s, m in names)
     return f"""WITH cells AS (SELECT CAST(l_suppkey AS VARCHAR) AS label, CAST(l_partkey AS VARCHAR) AS kmer, CAST(sum(l_quantity) AS BIGINT) AS count FROM lineitem GROUP BY ALL
 ), sums AS (SELECT label, sum(count) AS s FROM cells GROUP BY label
 ), spectra_ AS (SELECT CAST(s_suppkey AS VARCHAR) AS label, CAST(s_nationkey AS VARCHAR) AS g FROM supplier
 ), dense AS (SELECT label, g, kmer, coalesce(count / CAST(s AS DOUBLE), 0) AS x FROM spectra_ CROSS JOIN (SELECT DISTINCT kmer FROM cells) LEFT JOIN cells USING (label, kmer) LEFT JOIN sums USING (label)
 ), pairs AS (SELECT a.kmer, least(a.g, b.g) AS ga, greatest(a.g, b.g) AS gb, abs(a.x - b.x) AS d FROM dense a JOIN dense b ON a.kmer = b.kmer AND a.label < b.label
-), filled AS (SELECT kmer, ga, gb, avg(d) AS Avg, coalesce(var_samp(d), 0) AS Var FROM pairs GROUP BY ALL
+), filled AS (SELECT kmer, ga, gb, avg(d) AS Avg, CASE WHEN count(*) > 1 AND var_samp(d) * (count(*) - 1) > 1e-12 * sum(d * d) THEN var_samp(d) ELSE 0 END AS Var FROM pairs GROUP BY ALL
 ), classes AS (SELECT g, count(*) AS n FROM spectra_ GROUP BY g
 ), lone AS (SELECT kmer, g AS ga, g AS gb, 0.0 AS Avg, 0.0 AS Var FROM classes CROSS JOIN (SELECT DISTINCT kmer FROM cells) WHERE n = 1
 ), buckets AS (SELECT *, CASE WHEN Avg = 0 THEN 0 ELSE sqrt(Var) / Avg END AS COV FROM (SELECT * FROM filled UNION ALL SELECT * FROM lone)
@@ -184,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "col_stats_relative": _stats("label", 0.01, 0.5),
         "row_stats": _stats("kmer", 2, 1),
         "row_stats_relative": _stats("kmer", 0.01, 0.5),
-        "transform_binary": _transform(passed.format("1.0"), 3, 1),
+        "transform_binary": _transform(f"CAST({passed.format(1.0)} AS DOUBLE)", 3, 1),
         "transform_power": _transform(passed.format("power(c, 0.5)"), 2, 0.5),
         "transform_power_relative": _transform(passed.format("c"), 0.01, 1),
         "transform_clr": _transform(f"ln({kept}) - sl / nullif(nz, 0)", 1, 1),
@@ -217,7 +218,7 @@ SELECT label, kmer, CAST(trunc(round(v, 6)) AS BIGINT) AS count FROM medians WHE
         "project_spectra": f"""WITH {CELLS}, base AS (SELECT upper(trim(kmer, {BLANKS})) AS k, weights FROM twister WHERE kmer IS NOT NULL AND weights IS NOT NULL
 ), tw AS (SELECT least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, max(weights) AS weights FROM base GROUP BY ALL
 ), j AS (SELECT label, count, unnest(weights) AS w, CAST(generate_subscripts(weights, 1) AS INTEGER) AS dim FROM cells JOIN tw USING (kmer))
-SELECT label, dim, round(sum(count * w) / sum(count), 6) AS value FROM j GROUP BY label, dim""",
+SELECT label, dim, round(sum(count * w) / sum(count) + {NUDGE}, 6) AS value FROM j GROUP BY label, dim""",
         "metric_flat": "SELECT dim, name, round(CAST(1.0 AS DOUBLE) / (SELECT count(*) FROM inertia), 9) AS weight FROM inertia",
         "metric_powers": "WITH r AS (SELECT dim, name, value, coalesce(sum(value) OVER (ORDER BY value DESC, dim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(value) FROM inertia) AS whole FROM inertia), k AS (SELECT dim, name, CASE WHEN before < 0.8 * whole THEN value * value ELSE 0 END AS v FROM r) SELECT dim, name, round(v / sum(v) OVER (), 9) AS weight FROM k",
         "vector_norms": f"WITH {VECTORS}, {WEIGHTS}, n AS (SELECT label, {ROOT.format(_fold('list_zip(coords, w)', SQUARE, True))} AS n FROM latest, weights) SELECT label, round({NORMAL}, 6) AS norm FROM n",
@@ -244,8 +245,8 @@ SELECT label, class_name AS predicted, round(votes / CAST(sum(votes) OVER (PARTI
         "gaps_members": f"WITH {CLASSES}, {GAPS.format('classes')} SELECT CAST(split_id AS INTEGER) AS split_id, label FROM gaps g JOIN places p ON p.dim = g.dim AND p.position <= g.position WHERE split_id <= 100",
         "band_join_pairs": "SELECT a.p_partkey AS lo, b.p_partkey AS hi, round(abs(a.p_retailprice - b.p_retailprice), 6) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN a.p_retailprice - 0.06 AND a.p_retailprice + 0.06 WHERE abs(a.p_retailprice - b.p_retailprice) <= CAST(0.05 AS DOUBLE)",
         "coordinate_range": "SELECT min(p_retailprice) AS low, max(p_retailprice) AS high FROM part",
-        "matrix_transpose": f"WITH {CLASSES}, l AS ({LONG} FROM classes) SELECT 'Dim' || dim AS row, label AS col, round(x, 6) AS value FROM l",
-        "matrix_merge_rows": f"WITH {CLASSES}, l AS ({LONG} FROM (SELECT label, coords FROM latest UNION ALL SELECT label, coords FROM classes)) SELECT label, dim, round(x, 6) AS value FROM l",
+        "matrix_transpose": f"WITH {CLASSES}, l AS ({LONG} FROM classes) SELECT 'Dim' || dim AS row, label AS col, round(x + {NUDGE}, 6) AS value FROM l",
+        "matrix_merge_rows": f"WITH {CLASSES}, l AS ({LONG} FROM (SELECT label, coords FROM latest UNION ALL SELECT label, coords FROM classes)) SELECT label, dim, round(x + {NUDGE}, 6) AS value FROM l",
         "matrix_vector": f"WITH {VECTORS}, l AS ({LONG} FROM latest) SELECT label AS row, round(sum(x * value), 6) AS value FROM l JOIN inertia USING (dim) GROUP BY label",
         "matrix_product": f"WITH {CLASSES}, l AS ({LONG} FROM classes) SELECT a.label AS row, b.label AS col, round(sum(a.x * b.x), 6) AS value FROM l a JOIN l b USING (dim) GROUP BY a.label, b.label",
         "label_difference": f"WITH {CELLS}, {META} SELECT label FROM cells EXCEPT SELECT label FROM meta",
@@ -254,7 +255,7 @@ SELECT label, class_name AS predicted, round(votes / CAST(sum(votes) OVER (PARTI
         "dedup_first": "SELECT doc_id, file_path FROM documents QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY crawled_at NULLS FIRST, doc_id) = 1",
         "count_by_class": f"WITH {META} SELECT class_name, count(DISTINCT label) AS labels FROM meta GROUP BY class_name",
         "compare_stored_sums": f"""WITH {CELLS}, named AS (SELECT {clean_label("label")} AS label, batch, sum FROM load_stats
-), stored AS (SELECT label, CAST(max_by(sum, batch) AS BIGINT) AS sum FROM named WHERE label IS NOT NULL GROUP BY label
+), stored AS (SELECT label, CAST(max_by(sum, batch) AS BIGINT) AS sum FROM named WHERE label IS NOT NULL AND sum IS NOT NULL GROUP BY label
 ), computed AS (SELECT label, CAST(sum(count) AS BIGINT) AS sum FROM cells GROUP BY label)
 SELECT label, s.sum AS one, c.sum AS two FROM stored s FULL OUTER JOIN computed c USING (label) WHERE s.sum IS DISTINCT FROM c.sum""",
         "name_join": f"SELECT doc_id, lower(trim(d.source, {BLANKS})) AS name, max_repeats FROM documents d JOIN mix_targets m ON lower(trim(d.source, {BLANKS})) = m.source",
