@@ -34,11 +34,12 @@ def read_fastq(spark: SparkSession, paths: str | list[str], segm: int = 0) -> Da
     A file is framed as a whole, by one task, because a quality line may begin like a
     header; give many files of moderate size. A file whose lines aren't full records fails.
     """
-    files = spark.read.option("wholetext", "true").text(paths)
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda line, i: (F.length(line) > 0) | (i % 4 == 1))
-    framed = files.select(lines.alias("_l")).withColumn("_n", F.floor(F.size("_l") / 4).cast("int"))
-    record = lambda i: F.struct(F.element_at("_l", i * 4 + 1).alias("h"), F.element_at("_l", i * 4 + 2).alias("s"), F.element_at("_l", i * 4 + 3).alias("p"))
-    each = framed.where("_n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), record)).alias("r"))
+    files = spark.read.text(paths, wholetext=True)
+    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n\\z", "")
+    framed = files.select(F.split(body, "\n").alias("_l"), (body != "").alias("_some")).where("_some").withColumn("_n", F.ceil(F.size("_l") / 4).cast("int"))
+    line = lambda i: F.coalesce(F.get(F.col("_l"), i), F.lit(""))
+    record = lambda i: F.struct(line(i * 4).alias("h"), line(i * 4 + 1).alias("s"), line(i * 4 + 2).alias("p"))
+    each = framed.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), record)).alias("r"))
     sound = F.col("r.h").startswith("@") & F.col("r.p").startswith("+")
     tag = F.when(sound, _tag(F.substr(F.col("r.h"), F.lit(2)))).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record: "), F.col("r.h"))))
     return each.select(tag.alias("tag"), F.lit(segm).alias("segm"), F.col("r.s").alias("seq"))

@@ -33,8 +33,8 @@ def read_spectra(spark: SparkSession, paths: str | list[str], decimals: bool = F
     # in the first block of a file the header's tab is still there; in later ones the separator took it
     head = F.regexp_replace(F.col("_l")[0], r"\A\t", "")
     wrong = ~F.col("_first") & (F.col("_bad") != "")
-    label = F.when(wrong, F.raise_error(F.concat(F.lit("header expected: "), F.col("_bad")))).otherwise(clean_label(head))
-    rows = headed.select(label.alias("label"), F.explode(F.slice("_l", 2, F.greatest(F.lit(0), F.size("_l") - 1))).alias("line")).where("line <> ''")
+    body = F.when(wrong, F.raise_error(F.concat(F.lit("header expected: "), F.col("_bad")))).otherwise(F.slice("_l", 2, F.greatest(F.lit(0), F.size("_l") - 1)))
+    rows = headed.select(clean_label(head).alias("label"), F.explode(body).alias("line")).where("line <> ''")
     fields = F.split("line", "\t", -1)
     pattern = r"\A[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z" if decimals else r"\A[0-9]{1,10}\z"
     sound = (F.size(fields) == 2) & F.get(fields, F.lit(1)).rlike(pattern)
