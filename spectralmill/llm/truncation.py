@@ -36,6 +36,7 @@ _ELLIPSIS = re.compile(r"\s*(?:\.\.\.|…)$")
 COMMENT_MARKS = frozenset(("#", "##", "###", "//", ">", "(*", "/*", "*", "<!--", "--"))
 LONGEST_WORD = 64
 TAIL = 120
+SPAN = 20  # lengths below a pile that it is compared with
 FEATURES = "doc_id {kind}, source string, chars bigint, bytes bigint, line_end boolean, shape string, word string, broken boolean, tail bigint, vocab_word string, vocab_count bigint"
 
 
@@ -102,19 +103,25 @@ def vocabulary_trie(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _limits(texts: DataFrame, measure: str, slack: int, least: int) -> DataFrame:
-    """(source, measure): lengths at which different texts of a source pile up, with hardly any longer text."""
-    length = F.col(measure)
-    each = texts.select("source", length.alias("length"), "tail").distinct().groupBy("source", "length").agg(F.count("*").alias("texts"))
-    longer = F.sum("texts").over(W.partitionBy("source").orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, 0))
-    pile = F.sum("texts").over(W.partitionBy("source").orderBy("length").rangeBetween(-slack, 0))
-    return each.select("source", "length", "texts", longer.alias("upto"), pile.alias("pile")).where((F.col("pile") >= least) & (F.col("pile") * 2 >= F.col("upto") + F.col("pile") - F.col("texts"))).select("source", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias(measure)).distinct()
+    """(source, measure): lengths at which different texts of a source pile up, with hardly any longer text.
+
+    A pile holds ``least`` different texts, most of them of its greatest length, half of all
+    that are as long or longer, and five times as many as any of the ``SPAN`` lengths below. ``slack`` is by how much a cut may stop short so as not to split a character.
+    """
+    each = texts.select("source", F.col(measure).alias("length"), "tail").distinct().groupBy("source", "length").agg(F.count("*").alias("texts"))
+    down, up = W.partitionBy("source").orderBy(F.desc("length")), W.partitionBy("source").orderBy("length")
+    longer = F.sum("texts").over(down.rowsBetween(W.unboundedPreceding, -1))
+    below = F.max("texts").over(up.rangeBetween(-slack - SPAN, -slack - 1))
+    piles = each.select("source", "length", "texts", F.coalesce(longer, F.lit(0)).alias("longer"), F.sum("texts").over(up.rangeBetween(-slack, 0)).alias("pile"), F.coalesce(below, F.lit(0)).alias("below"))
+    limits = piles.where((F.col("pile") >= least) & (F.col("pile") >= F.col("longer")) & (F.col("texts") * 2 >= F.col("pile")) & (F.col("texts") >= 5 * F.col("below")))
+    return limits.select("source", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias(measure)).distinct()
 
 
 def find_truncated(documents: DataFrame, least_pile: int = 3, whole_share: float = 0.0005, any_share: float = 0.005) -> DataFrame:
     """(doc_id, source, signs, truncated), one row for each text that is not null or empty.
 
     A length counts as a limit if at least ``least_pile`` different texts of the source have
-    it and at least half of all that are as long or longer. An ending is a usual one if at
+    it, far more than have the lengths just below, and no more are longer. An ending is a usual one if at
     least ``whole_share`` of the texts that end in a line end, or ``any_share`` of all texts,
     have it. Texts that end in a line end are held unusual only if their last line opens
     something. Sources are cleaned; texts without source are a source of their own. Repeated
