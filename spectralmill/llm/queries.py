@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from spectralmill.llm.clusters import describe_groups, similar_groups
 from spectralmill.llm.distinctive import distinctive_terms
+from spectralmill.llm.graph_search import search_labels
 from spectralmill.llm.leaks import find_leaks
 from spectralmill.llm.mixing import mix_sources
-from spectralmill.llm.neighbours import nearest_labels
+from spectralmill.llm.neighbours import group_copies, nearest_labels, neighbour_graph
 from spectralmill.llm.term_counts import mark_terms, ngram_counts
 from spectralmill.llm.truncation import find_truncated, truncation_by_source
 from spectralmill.operators.counts import accumulate_spectra
@@ -56,6 +57,16 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir)
 
 
+def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest labels of every label whose number is divisible by 50, by greedy search of the graph of all."""
+    scratch = Scratch(spark, "search")
+    vectors = scratch.save(latest_vectors(_read(spark, sf_dir, "twisted")))
+    nodes, _ = group_copies(vectors, heads=NEIGHBOURS + 1, scratch=scratch)
+    graph = scratch.save(neighbour_graph(nodes, k=2 * NEIGHBOURS, scratch=scratch))
+    asked = vectors.where(F.regexp_extract("label", "([0-9]+)$", 1).try_cast("bigint") % 50 == 0)
+    return search_labels(asked, graph, nodes, 32, NEIGHBOURS, REACH)
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "clusters")
     vectors = scratch.save(latest_vectors(_read(spark, sf_dir, "twisted")))
@@ -115,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_scores": p1_scores,
         "p2_found": p2_found,
         "p2_neighbours": p2_neighbours,
+        "p2_search": p2_search,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
         "p5_found": p5_found,

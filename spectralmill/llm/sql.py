@@ -37,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
   round((count - e) / sqrt(e) / nullif(sqrt((1 - record_total / CAST(n AS DOUBLE)) * (1 - term_total / CAST(n AS DOUBLE))), 0), 6) AS adjusted_residual FROM expect""",
         "p2_found": f"{NEAREST} SELECT DISTINCT least(label, neighbour) AS label_a, greatest(label, neighbour) AS label_b FROM ranked WHERE rank <= 5",
         "p2_neighbours": f"{NEAREST} SELECT label, neighbour, CAST(rank AS INTEGER) AS rank, distance FROM ranked WHERE rank <= 5",
+        "p2_search": f"{NEAREST} SELECT label, neighbour, CAST(rank AS INTEGER) AS rank, distance FROM ranked WHERE rank <= 5 AND TRY_CAST(regexp_extract(label, '([0-9]+)$', 1) AS BIGINT) % 50 = 0",
         "p3_found": f"""WITH {VECTORS}, vectors AS (
   SELECT label, CAST(coords AS DOUBLE[32]) AS v FROM latest
 ), around AS (

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from spectralmill.llm.clusters import describe_groups, similar_groups
+from spectralmill.llm.graph_search import search_graph
 from spectralmill.llm.neighbours import nearest_labels, neighbour_graph
 from spectralmill.operators.vectors import latest_vectors
 
@@ -43,6 +44,21 @@ def test_descent_recall(frame):
     assert found[6] >= 0.97 and found[6] > found[0]
 
 
+def test_graph_search(frame):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(8, 6)) * 4
+    points = np.concatenate([c + rng.normal(size=(60, 6)) * 0.4 for c in centers])
+    asked = points[::7] + rng.normal(size=points[::7].shape) * 0.1
+    nodes = frame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, coords array<double>")
+    queries = frame([(i, q.tolist()) for i, q in enumerate(asked)], "query bigint, coords array<double>")
+    found = search_graph(nodes, neighbour_graph(nodes, k=8, leaf=100), queries, 6, k=5)
+    got = {(r.query, r.id) for r in found.collect()}
+    d = np.linalg.norm(asked[:, None] - points[None], axis=2)
+    want = {(i, int(j)) for i in range(len(asked)) for j in np.argsort(d[i])[:5]}
+    assert len(got & want) / len(want) >= 0.95
+    assert search_graph(nodes.limit(0), nodes.selectExpr("id", "id as nbr", "0.0D as d").limit(0), queries, 6).count() == 0
+
+
 def test_nearest_edge_cases(frame):
     assert nearest_labels(frame([], VEC), 5, 1.5).count() == 0
     assert nearest_labels(frame([("a", [1.0, 2.0])], VEC), 5, 1.5).count() == 0
