@@ -8,8 +8,9 @@ that spreads over pivots and records to convergence names a connected group. In
 dimensions a cell has 3 ** 32 neighbours on its own grid, which is why adjacency is by
 shared records and the grids are shifted.
 
-An exact check follows: groups that come within reach of each other are joined, and a group
-is a cluster only if any two of its members are within reach.
+An exact check follows: groups of which any two members are within reach of each other are
+joined, by comparing members (not centers) in overlapping cells, and a group is a cluster
+only if any two of its members are within reach.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralmill.functions.space import array_literal, squared_distance
-from spectralmill.llm.neighbours import _groups, _halves, matrix_of, whole_groups
+from spectralmill.llm.neighbours import _groups, matrix_of, whole_groups
 from spectralmill.operators.skew import join_margins
 from spectralmill.scratch import Scratch
 
 GRIDS = 12
 CELL = 16 / 3  # width of a cell in units of reach
 BLOCK = 2_048
+AXES = 14  # dimensions of the overlapping cells; a row is seated in 2 ** AXES cells at most, in about ten on average
 
 
 def _cells(rows: DataFrame, key: str, width: float, grids: int, dims: int, seed: int) -> DataFrame:
@@ -108,21 +110,57 @@ def _stats(members: DataFrame, dims: int, scratch: Scratch) -> tuple[DataFrame,
     return scratch.save(comps.join(radius, "comp")), placed
 
 
-def _close_groups(reach: float):
-    """Pairs of groups of one cell whose balls come within reach."""
+def _seats(reach: float, width: float, axes: list[int], shifts: np.ndarray):
+    """(cell, comp, label): every cell of the axes' grid that comes within half of reach of a row.
+
+    Rows within reach of each other have a cell in common: on each axis their intervals of
+    half of reach meet. Cells are named by a 64-bit hash; a clash only adds comparisons.
+    """
+    margin = reach / 2 * (1 + 1e-9) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(5)
-        for table in _groups(batches, ["cell"]):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = matrix_of(batch.column("coords"))[:, axes] + shifts
+            low, high = (np.floor(v / width).astype(np.int64) for v in (x - margin, x + margin))
+            row, cell = np.arange(len(x)), np.zeros(len(x), np.uint64)
+            for axis in range(len(axes)):
+                both = high[row, axis] > low[row, axis]
+                step = np.concatenate((low[row, axis], high[row[both], axis])).view(np.uint64)
+                row, cell = np.concatenate((row, row[both])), np.concatenate((cell, cell[both]))
+                cell = (cell ^ (step + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+                cell ^= cell >> np.uint64(32)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("comp").take(take), batch.column("label").take(take)], names=["cell", "comp", "label"])
+
+    return run
+
+
+def _linked_groups(reach: float):
+    """(one, two): groups of which a row of side 0 and a row of side 1 are within reach; input sorted by (g, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["g", "i", "j"]):
             group = table.combine_chunks().to_batches()[0]
-            comp, x, r = group.column("comp"), matrix_of(group.column("center")), group.column("radius").to_numpy()
-            for rows in _halves(x, np.arange(len(x)), 2 * BLOCK, rng):
-                y, s = x[rows], r[rows]
-                square = np.einsum("ij,ij->i", y, y)
-                d2 = np.maximum(0, square[:, None] + square[None] - 2 * (y @ y.T))
-                i, j = np.nonzero(np.triu(np.sqrt(d2) <= s[:, None] + s[None] + reach + 1e-6, 1))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([comp.take(pa.array(rows[i])), comp.take(pa.array(rows[j]))], names=["one", "two"])
+            names = group.column("comp").dictionary_encode()
+            x, side, comp = matrix_of(group.column("coords")), group.column("side").to_numpy(), names.indices.to_numpy().astype(np.int64)
+            a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2 is on both
+            square, count, found = np.einsum("ij,ij->i", x, x), len(names.dictionary), []
+            slack = 1e-6 + 1e-9 * float(square.max())
+            for begin in range(0, len(a), 512):
+                part = a[begin : begin + 512]
+                d2 = square[part, None] + square[b][None] - 2 * (x[part] @ x[b].T)
+                i, j = np.nonzero(d2 <= reach * reach + slack)
+                i, j = part[i], b[j]
+                other = comp[i] != comp[j]
+                i, j = i[other], j[other]
+                near = np.sqrt(((x[i] - x[j]) ** 2).sum(1)) <= reach
+                one, two = comp[i[near]], comp[j[near]]
+                found.append(np.unique(np.minimum(one, two) * count + np.maximum(one, two)))
+            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(pairs // count)), names.dictionary.take(pa.array(pairs % count))], names=["one", "two"])
 
     return run
 
@@ -152,34 +190,52 @@ def _any_pair(keys: list[str], beyond: bool, reach: float):
     return run
 
 
-def _blocked(rows: DataFrame, two_sided: bool, scratch: Scratch) -> DataFrame:
+def _blocked(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of groups (one, two) cut into blocks, each pair of blocks together; side 2 where a block meets itself."""
     rows = scratch.save(rows.withColumn("_k", F.struct("one", "two")))
     count = rows.groupBy("_k", "side").agg(F.count("*").alias("n"))
     parts = scratch.save(count.groupBy("_k").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("parts"), F.sum("n").alias("n")))
     placed = join_margins(rows, parts, "_k", "n").withColumn("_b", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    if two_sided:
-        spread = placed.withColumn("_o", F.explode(every)).withColumns({"i": F.when(F.col("side") == 0, F.col("_b")).otherwise(F.col("_o")), "j": F.when(F.col("side") == 0, F.col("_o")).otherwise(F.col("_b"))})
-    else:
-        spread = placed.withColumn("_o", F.explode(every)).withColumns({"i": F.least("_b", "_o"), "j": F.greatest("_b", "_o")})
-        spread = spread.withColumn("side", F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1))
+    spread = placed.withColumn("_o", F.explode(every)).withColumns({"i": F.least("_b", "_o"), "j": F.greatest("_b", "_o")})
+    spread = spread.withColumn("side", F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1))
     group = F.xxhash64("one", "two")
     return spread.select(group.alias("g"), "i", "j", F.col("side").cast("int").alias("side"), "one", "two", "coords").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
-def _touching(comps: DataFrame, placed: DataFrame, reach: float, width: float, grids: int, dims: int, seed: int, scratch: Scratch) -> DataFrame:
-    """(one, two): groups that have members within reach of each other."""
-    cells = _cells(comps.withColumnRenamed("center", "coords"), "comp", width, grids, dims, seed)
-    cells = scratch.save(cells)
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    seated = join_margins(cells, scratch.save(shared), "cell", "n").select("cell", "comp").join(comps.select("comp", "center", "radius"), "comp")
-    close = scratch.save(seated.repartition("cell").sortWithinPartitions("cell").select("cell", "comp", "center", "radius").mapInArrow(_close_groups(reach), "one string, two string").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct())
-    ball = comps.select(F.col("comp").alias("_other"), F.col("center").alias("_c"), F.col("radius").alias("_r"))
-    sides = close.select(F.col("one").alias("comp"), F.col("two").alias("_other"), "one", "two", F.lit(0).alias("side")).unionByName(close.select(F.col("two").alias("comp"), F.col("one").alias("_other"), "one", "two", F.lit(1).alias("side"))).join(ball, "_other")
-    # few groups come close to many others; those with most members meet the fewest rows of ``sides``
-    toward = placed.join(sides, "comp").where(F.sqrt(squared_distance(F.col("coords"), F.col("_c"), dims)) <= F.col("_r") + reach + 1e-9)
-    return _blocked(toward.select("one", "two", "side", "label", "coords"), True, scratch).mapInArrow(_any_pair(["g", "i", "j"], False, reach), "one string, two string").distinct()
+def _touching(members: DataFrame, reach: float, width: float, dims: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(one, two): all groups that have members within reach of each other.
+
+    Members are seated in overlapping cells of the ``AXES`` widest dimensions, and in a cell all
+    members of different groups are compared, by pairs of blocks of about ``BLOCK`` members. A group
+    with more members in a cell has blocks of its own there, which don't meet each other.
+    """
+    spreads = members.agg(*(F.var_pop(F.col("coords")[i]).alias(f"_v{i}") for i in range(dims))).first()
+    axes = sorted(range(dims), key=lambda i: -(spreads[i] or 0.0))[:AXES]
+    shifts = np.random.default_rng(seed).uniform(0, width, len(axes))
+    seats = scratch.save(members.select("label", "comp", "coords").mapInArrow(_seats(reach, width, axes, shifts), "cell bigint, comp string, label string").withColumn("_k", F.struct("cell", "comp")))
+    held = scratch.save(seats.groupBy("_k").agg(F.count("*").alias("n")))
+    crowd = F.when(F.col("n") <= BLOCK, F.col("n"))
+    cells = held.groupBy(F.col("_k.cell").alias("cell")).agg(F.count("*").alias("comps"), F.sum(crowd).alias("crowd")).where("comps > 1")
+    own = F.when(F.col("n") > BLOCK, F.col("_k.comp")).otherwise("")
+    parts = F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("crowd")) / BLOCK).cast("int")
+    margins = scratch.save(held.withColumn("cell", F.col("_k.cell")).join(cells, "cell").select("_k", "n", own.alias("own"), parts.alias("parts")))
+    block = F.struct("own", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int").alias("part"))
+    placed = scratch.save(join_margins(seats, margins, "_k", "n").select("cell", block.alias("block"), "comp", "label"))
+    blocks = scratch.save(placed.select("cell", "block").distinct())
+    met = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "cell").where("one <= two and (one.own = '' or one.own <> two.own)")
+    met = scratch.save(met.select("cell", "one", "two", F.xxhash64("one").alias("i"), F.xxhash64("two").alias("j")))
+    sides = met.select("cell", F.col("one").alias("block"), "i", "j", F.when(F.col("one") == F.col("two"), 2).otherwise(0).alias("side")).unionByName(met.where("one < two").select("cell", F.col("two").alias("block"), "i", "j", F.lit(1).alias("side")))
+    routed = placed.join(sides, ["cell", "block"]).join(members.select("label", "coords"), "label").select(F.col("cell").alias("g"), "i", "j", "side", "comp", "coords")
+    return routed.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_linked_groups(reach), "one string, two string").distinct()
+
+
+def _joined(vectors: DataFrame, named: DataFrame, reach: float, width: float, dims: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(label, comp) after joining all groups that have members within reach of each other."""
+    touching = scratch.save(_touching(scratch.save(vectors.join(named, "label")), reach, width, dims, seed + 1, scratch))
+    joined = smallest_labels(touching.select(F.col("two").alias("label"), F.col("one").alias("pivot")), named.select(F.col("comp").alias("label")).distinct(), scratch)
+    renamed = joined.where("comp <> label").select(F.col("label").alias("comp"), F.col("comp").alias("_new"))
+    return scratch.save(named.join(renamed, "comp", "left").select("label", F.coalesce("_new", "comp").alias("comp")))
 
 
 def similar_groups(vectors: DataFrame, reach: float, dims: int, grids: int = GRIDS, cell: float = CELL, seed: int = 3, scratch: Scratch | None = None) -> DataFrame:
@@ -188,27 +244,20 @@ def similar_groups(vectors: DataFrame, reach: float, dims: int, grids: int = GRI
     ``vectors`` has label (unique, not null) and coords (``dims`` finite numbers). comp is the
     group's smallest label, size its number of labels, r the label's distance from the
     group's mean; mutual tells whether any two labels of the group are within ``reach``.
-    Groups are the connected parts of the graph that links labels within reach; a link is
-    overlooked if its two labels share no cell of ``grids`` grids, see the README for how
-    seldom that is. An empty table gives an empty result.
+    Groups are the connected parts of the graph that links labels within reach; the grids only
+    find most links early, and those they overlook are found by ``_touching``, which compares
+    all labels of different groups that can be within reach. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "clusters")
     vectors = vectors.select("label", "coords")
-    width = cell * reach
+    width = max(cell, 2) * reach
     links = _pivot_links(vectors, _cells(vectors, "label", width, grids, dims, seed), reach, scratch)
     named = smallest_labels(links, vectors.select("label"), scratch)
-    while True:
-        members = scratch.save(vectors.join(named, "label"))
-        comps, placed = _stats(members, dims, scratch)
-        touching = scratch.save(_touching(comps, placed, reach, width, grids, dims, seed + 1, scratch))
-        if touching.isEmpty():
-            break
-        joined = smallest_labels(touching.select(F.col("two").alias("label"), F.col("one").alias("pivot")), comps.select(F.col("comp").alias("label")), scratch)
-        renamed = joined.where("comp <> label").select(F.col("label").alias("comp"), F.col("comp").alias("_new"))
-        named = scratch.save(named.join(renamed, "comp", "left").select("label", F.coalesce("_new", "comp").alias("comp")))
+    named = _joined(vectors, named, reach, width, dims, seed, scratch)
+    comps, placed = _stats(scratch.save(vectors.join(named, "label")), dims, scratch)
     # members so near the center that their distance to any other can't exceed reach need no comparison
     outer = join_margins(placed, comps.select("comp", "n", "radius"), "comp", "n").where(F.col("r") + F.col("radius") > reach - 1e-9)
-    wide = _blocked(outer.select(F.col("comp").alias("one"), F.col("comp").alias("two"), F.lit(0).alias("side"), "label", "coords"), False, scratch)
+    wide = _blocked(outer.select(F.col("comp").alias("one"), F.col("comp").alias("two"), F.lit(0).alias("side"), "label", "coords"), scratch)
     broken = wide.mapInArrow(_any_pair(["g", "i", "j"], True, reach), "one string, two string").select(F.col("one").alias("comp")).distinct()
     judged = scratch.save(comps.select("comp", F.col("n").alias("size")).join(broken.withColumn("_broken", F.lit(True)), "comp", "left").withColumn("mutual", F.col("_broken").isNull()).drop("_broken"))
     return join_margins(placed.select("label", "comp", "r"), judged, "comp", "size").select("label", "comp", "size", "r", "mutual")

@@ -108,3 +108,16 @@ def test_clusters(frame, groups):
 
 def test_clusters_empty(frame):
     assert similar_groups(frame([], VEC), 1.5, 8).count() == 0
+
+
+def test_clusters_beside_a_wide_group(frame, monkeypatch):
+    from spectralmill.llm import clusters
+
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    x = {f"a{i + 2:03d}": 0.9 * i for i in range(120)}  # one chained group, its center 53 away from its ends
+    # beside each end the pivot of its cells, and five labels within reach of the end but not of the pivot
+    x |= {"a000": 0.1, "a001": 0.9 * 119 - 0.1, "z0": x.pop("a002"), "z1": x.pop("a121")}
+    x |= {f"b{i}": -1.49 - 0.001 * i for i in range(5)} | {f"c{i}": 0.9 * 119 + 1.49 + 0.001 * i for i in range(5)}
+    x |= {f"d{i}": 200 + 0.01 * i for i in range(5)}
+    got = {r.label: r.comp for r in similar_groups(frame([(n, [v] + [0.0] * 7) for n, v in x.items()], VEC), 1.5, 8).collect()}
+    assert {got[n] for n in x if n[0] in "abcz"} == {"a000"} and {got[n] for n in x if n[0] == "d"} == {"d0"}
