@@ -69,7 +69,8 @@ def _pivot_links(vectors: DataFrame, cells: DataFrame, reach: float, scratch: Sc
     """(label, pivot) of records within reach of a pivot of one of their cells.
 
     A cell of many records is worked off in parts of about ``BLOCK`` records, drawn anew on
-    every grid, so that the parts of one grid are linked through the cells of the others.
+    every grid. Links between parts that no other grid finds are left to ``_touching``, which
+    leaves out no pair of blocks.
     """
     cells = scratch.save(cells)
     dense = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")

@@ -121,3 +121,19 @@ def test_clusters_beside_a_wide_group(frame, monkeypatch):
     x |= {f"d{i}": 200 + 0.01 * i for i in range(5)}
     got = {r.label: r.comp for r in similar_groups(frame([(n, [v] + [0.0] * 7) for n, v in x.items()], VEC), 1.5, 8).collect()}
     assert {got[n] for n in x if n[0] in "abcz"} == {"a000"} and {got[n] for n in x if n[0] == "d"} == {"d0"}
+
+
+def test_touching_members_of_hot_cells(frame, spark, monkeypatch):
+    """All groups with members within reach are found, whatever the size of a cell and of a group."""
+    from spectralmill.llm import clusters
+    from spectralmill.scratch import Scratch
+
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6)) * 1.2
+    comp = np.where(np.arange(400) < 150, 0, rng.integers(1, 120, 400))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) <= 1.0
+    want = {(f"c{min(comp[i], comp[j]):03d}", f"c{max(comp[i], comp[j]):03d}") for i, j in np.argwhere(d) if comp[i] != comp[j]}
+    members = frame([(f"l{i:03d}", f"c{comp[i]:03d}", x[i].tolist()) for i in range(400)], "label string, comp string, coords array<double>")
+    got = clusters._touching(members, 1.0, 16 / 3, 6, 4, Scratch(spark, "touching"))
+    assert {tuple(sorted(r)) for r in got.collect()} == want
