@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,35 @@ COLUMNS = [
 MOST_CLASSES = 1_000
 
 
+def _pair_sums(table: pa.Table) -> pa.Table:
+    """(kmer, ga, gb, s1, s2): sums of absolute and of squared differences of one k-mer's stored pairs, by class pair.
+
+    Each value's sum of absolute differences to a class comes from its place among the class's
+    sorted values and their prefix sums, so no pair is formed. Values are taken from the
+    class's least one, so that equal values differ by 0 exactly.
+    """
+    names, group = np.unique(table.column("group").to_pylist(), return_inverse=True)
+    x = table.column("x").to_numpy()
+    size = np.bincount(group)
+    s1, base, rest, squares = np.zeros((len(names), len(names))), np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    for a in range(len(names)):
+        own = np.sort(x[group == a])
+        base[a], own = own[0], own - own[0]
+        rest[a] = own.mean()
+        squares[a] = ((own - rest[a]) ** 2).sum()
+        before = np.append(0.0, np.cumsum(own))
+        y = x - base[a]
+        at = np.searchsorted(own, y, side="right")
+        s1[a] = np.bincount(group, at * y - before[at] + (before[-1] - before[at]) - (size[a] - at) * y, len(names))
+    one, two = np.triu_indices(len(names))
+    same = one == two
+    gap = (base[one] - base[two]) + (rest[one] - rest[two])
+    s2 = np.where(same, size[one] * squares[one], size[two] * squares[one] + size[one] * squares[two] + size[one] * size[two] * gap**2)
+    sums = np.where(same, s1[one, two] / 2, s1[one, two])
+    kmer = table.column("kmer").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(one), np.int64)))
+    return pa.table({"kmer": kmer, "ga": pa.array(names[one].tolist(), pa.string()), "gb": pa.array(names[two].tolist(), pa.string()), "s1": sums, "s2": s2})
+
+
 def distill(cells: DataFrame, groups: DataFrame, kmers: DataFrame | None = None) -> DataFrame:
     """(kmer, 18 statistics) over all pairs of spectra.
 
@@ -28,8 +59,8 @@ def distill(cells: DataFrame, groups: DataFrame, kmers: DataFrame | None = None)
     outer against a straight line in inner, fitted over all k-mers. Buckets without enough
     pairs for a statistic, or whose mean is 0 for a coefficient of variation, give 0.
 
-    ``groups`` has label and group for every spectrum. Only stored counts are joined: pairs
-    with one zero follow from a k-mer's sums, pairs of two zeros add nothing but their number.
+    ``groups`` has label and group for every spectrum. Stored counts are summed
+    by sorting, without forming pairs: pairs with one zero follow from a k-mer's sums, pairs of two zeros add nothing but their number.
     """
     sizes = groups.groupBy("group").agg(F.count_distinct("label").alias("size")).limit(MOST_CLASSES + 1).collect()
     classes, spectra = len(sizes), sum(r["size"] for r in sizes)
@@ -40,9 +71,7 @@ def distill(cells: DataFrame, groups: DataFrame, kmers: DataFrame | None = None)
     norms = cells.groupBy("label").agg(F.sum("count").alias("norm"), F.count("*").alias("_rows"))
     shares = join_margins(cells, norms.join(groups.distinct(), "label"), "label", "_rows").select("kmer", "label", "group", (F.col("count").cast("double") / F.col("norm")).alias("x"))
     # pairs in which both hold the k-mer
-    one, two = shares.select("kmer", F.col("label").alias("l1"), F.col("group").alias("g1"), F.col("x").alias("x1")), shares.select("kmer", F.col("label").alias("l2"), F.col("group").alias("g2"), F.col("x").alias("x2"))
-    gap = F.abs(F.col("x1") - F.col("x2"))
-    both = one.join(two, "kmer").where("l1 < l2").groupBy("kmer", F.least("g1", "g2").alias("ga"), F.greatest("g1", "g2").alias("gb")).agg(F.count("*").alias("pairs"), F.sum(gap).alias("s1"), F.sum(gap * gap).alias("s2"))
+    both = shares.select("kmer", F.col("group").cast("string").alias("group"), "x").where("`group` is not null").groupBy("kmer").applyInArrow(_pair_sums, "kmer string, ga string, gb string, s1 double, s2 double")
     # what each class adds where the other spectrum lacks the k-mer
     held = shares.groupBy("kmer", "group").agg(F.count("*").alias("held"), F.sum("x").alias("t1"), F.sum(F.col("x") * F.col("x")).alias("t2"))
     known = (kmers if kmers is not None else cells).select("kmer").distinct()

@@ -225,6 +225,7 @@ def queries() -> dict[str, Query]:
         "combine_metadata": q(lambda t: combine.combine_metadata(t.metadata().select("label", "host", "site"), t.groups())),
         "class_indicator": q(lambda t: combine.class_indicator(_metadata_classes(t), "class_name")),
         "distill": q(lambda t: _distilled(t)),
+        "distill_spectra": q(lambda t: _distilled_spectra(t)),
         "ca_gram": q(lambda t: _round(fit.gram_matrix(_ca_values(t)), 6, "g")),
         "ca_masses": q(lambda t: _round(fit.column_masses(_ca_values(t)), 9, "mass")),
         "ca_distances": q(_ca_distances),
@@ -274,6 +275,14 @@ def _distilled(t: Tables) -> DataFrame:
     return _round(table, 7, *(c for c in table.columns if c != "kmer"))
 
 
+def _distilled_spectra(t: Tables) -> DataFrame:
+    """Distillation of the accumulated spectra that have a class."""
+    cells = t.cells()
+    groups = t.groups().where("`group` is not null").join(cells.select("label").distinct(), "label", "left_semi")
+    table = distill(cells, t.scratch.save(groups))
+    return _round(table, 7, *(c for c in table.columns if c != "kmer"))
+
+
 def _class_spectra_distances(t: Tables) -> DataFrame:
     spectra = t.scratch.save(t.by_class())
     labels = spectra.select("label").distinct()

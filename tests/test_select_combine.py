@@ -93,3 +93,30 @@ def test_distill_against_dense(frame):
     assert table["k0"].asDict().keys() == {"kmer", *COLUMNS}
     with pytest.raises(InvalidNumberOfClasses):
         distill(cells, frame([(s, "one") for s in spectra], "label string, `group` string"))
+
+
+def test_distill_forms_no_pairs(frame, spark):
+    """A k-mer of all spectra is summed without its pairs, and agrees with them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spectralmill.operators.distill import _pair_sums
+
+    random.seed(5)
+    rows = [(f"c{i % 5}", random.choice([0.1, 0.1, random.random()])) for i in range(300)] + [("e", 0.3)] * 7 + [("f", 0.3)] * 3
+    got = {(r["ga"], r["gb"]): (r["s1"], r["s2"]) for r in _pair_sums(pa.table({"kmer": ["k"] * len(rows), "group": [g for g, _ in rows], "x": [x for _, x in rows]})).to_pylist()}
+    want = {}
+    for i, (g, x) in enumerate(rows):
+        for h, y in rows[i + 1 :]:
+            s = want.setdefault(tuple(sorted((g, h))), [0.0, 0.0])
+            s[0] += abs(x - y)
+            s[1] += (x - y) ** 2
+    assert set(got) == set(want) and got["e", "e"] == got["f", "f"] == got["e", "f"] == (0, 0)
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    # six classes of 6,000 spectra that all hold two k-mers: 36 million pairs, which the plan has no join for
+    cells = spark.range(12_000).selectExpr("concat('s', id div 2) as label", "concat('k', id % 2) as kmer", "1 + id % 7 as count")
+    groups = spark.range(6_000).selectExpr("concat('s', id) as label", "concat('c', id % 6) as `group`")
+    table = distill(cells, groups)
+    assert "l1" not in table._jdf.queryExecution().optimizedPlan().toString() and table.count() == 2
