@@ -37,7 +37,7 @@ COMMENT_MARKS = frozenset(("#", "##", "###", "//", ">", "(*", "/*", "*", "<!--",
 LONGEST_WORD = 64
 TAIL = 120
 SPAN = 20  # lengths below a pile that it is compared with
-FEATURES = "doc_id {kind}, source string, chars bigint, bytes bigint, line_end boolean, shape string, word string, broken boolean, tail bigint, vocab_word string, vocab_count bigint"
+FEATURES = "doc_id {kind}, source string, chars bigint, bytes bigint, line_end boolean, shape string, word string, broken boolean, tail bigint, whole_text bigint, vocab_word string, vocab_count bigint"
 
 
 def ending_shape(text: str) -> str:
@@ -70,7 +70,7 @@ def final_word(text: str) -> str | None:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(8)]
         raw: Counter[str] = Counter()
         texts = batch.column("text").to_pylist()
         for text in texts:
@@ -80,7 +80,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not ended and (cut := _FINAL.search(text[-4 * LONGEST_WORD :])):
                 raw[cut.group()] -= 1
             tail = xxhash.xxh64_intdigest(" ".join(text[-4 * TAIL :].split())[-TAIL:].encode("utf-8", "replace"))
-            for column, value in zip(columns, (len(text), len(text.encode("utf-8", "replace")), ended, ending_shape(text), word, text.endswith("�"), tail - (1 << 63))):
+            data = text.encode("utf-8", "replace")
+            for column, value in zip(columns, (len(text), len(data), ended, ending_shape(text), word, text.endswith("�"), tail - (1 << 63), xxhash.xxh64_intdigest(data) - (1 << 63))):
                 column.append(value)
         n = len(texts)
         words: Counter[str] = Counter()
@@ -89,8 +90,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for part in _PARTS.findall(name):
                     words[part.lower()] += count
         words = Counter({w: c for w, c in words.items() if len(w) <= LONGEST_WORD})
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-        names = ["doc_id", "source", "chars", "bytes", "line_end", "shape", "word", "broken", "tail", "vocab_word", "vocab_count"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+        names = ["doc_id", "source", "chars", "bytes", "line_end", "shape", "word", "broken", "tail", "whole_text", "vocab_word", "vocab_count"]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
         m = len(words)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, batch.column("source").type), *(pa.nulls(m, k) for k in kinds), pa.array(list(words.keys()), pa.string()), pa.array(list(words.values()), pa.int64())], names=names)
@@ -122,8 +123,8 @@ def find_truncated(documents: DataFrame, least_pile: int = 3, whole_share: float
 
     A length counts as a limit if at least ``least_pile`` different texts of the source have
     it, far more than have the lengths just below, and no more are longer. An ending is a usual one if at
-    least ``whole_share`` of the texts that end in a line end, or ``any_share`` of all texts,
-    have it. Texts that end in a line end are held unusual only if their last line opens
+    least ``whole_share`` of the texts that end in a line end have it, or ``any_share`` of all
+    texts and some text that ends in a line end (if there are any such texts); copies of a text count once. Texts that end in a line end are held unusual only if their last line opens
     something. Sources are cleaned; texts without source are a source of their own. Repeated
     rows each get their row; an empty table gives an empty result.
     """
@@ -142,9 +143,11 @@ def find_truncated(documents: DataFrame, least_pile: int = 3, whole_share: float
     unknown = ends.join(vocabulary.select(F.col("word").alias("prefix")), "prefix", "left_anti")
     unknown = vocabulary_trie(vocabulary, unknown).select(F.col("prefix").alias("word"), F.lit(True).alias("_unknown"))
 
-    shapes = texts.groupBy("shape").agg(F.count("*").alias("n"), F.count_if("line_end").alias("whole"))
+    different = texts.select("shape", "line_end", "whole_text").distinct()
+    shapes = different.groupBy("shape").agg(F.count("*").alias("n"), F.count_if("line_end").alias("whole"))
     n, whole = shapes.agg(F.sum("n")).scalar(), shapes.agg(F.sum("whole")).scalar()
-    usual = shapes.where((F.col("whole") >= F.lit(whole_share) * F.greatest(whole, F.lit(1))) | (F.col("n") >= F.lit(any_share) * n)).where("whole > 0 or n > 1")
+    known = (F.col("whole") > 0) | (whole == F.lit(0)) & (F.col("n") > 1)
+    usual = shapes.where(known & ((F.col("whole") >= F.lit(whole_share) * F.greatest(whole, F.lit(1))) | (F.col("n") >= F.lit(any_share) * n)))
     usual = usual.select("shape", F.lit(True).alias("_usual"))  # fewer than 1 / whole_share + 1 / any_share rows
 
     opens = F.col("shape").rlike(r"^\S+ .* [{(\[,:=] \d [01]$")

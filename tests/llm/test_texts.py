@@ -110,3 +110,18 @@ def test_truncation(frame):
     by = {r.source: r for r in truncation_by_source(result).collect()}
     assert by["short"].share == 1.0 and by[None].texts == 1
     assert find_truncated(table.limit(0)).count() == 0
+
+
+def test_copies_do_not_make_an_ending_usual(frame):
+    """A cut text that is a third of all rows is found, and so are other cut texts of its form."""
+    random.seed(7)
+    names = ["tally", "marker", "window", "folder", "ledger", "bucket"]
+
+    def whole(n):
+        return "".join(f"def {random.choice(names)}_{random.choice(names)}(x):\n    {random.choice(names)} = x + {random.randint(1, 99)}\n    return {random.choice(names)}\n\n" for _ in range(n))
+
+    docs = [(i, whole(random.randint(2, 9)), "full") for i in range(200)]
+    cut = whole(3) + "def marker_tally(x):\n    window = ("
+    copies = [(1000 + i, cut, "full") for i in range(100)] + [(2000, whole(2) + "def tally_marker(x):\n    bucket = (", "full")]
+    found = {r.doc_id for r in find_truncated(frame(docs + copies, "doc_id bigint, text string, source string")).where("truncated").collect()}
+    assert found == {d for d, _, _ in copies}
