@@ -53,6 +53,17 @@ def split_members(vectors: DataFrame, splits: DataFrame) -> DataFrame:
     return splits.select("split_id", "dim", F.col("position").alias("_upto")).join(placed, "dim").where("position <= _upto").select("split_id", "label")
 
 
+def member_ranges(vectors: DataFrame, splits: DataFrame) -> DataFrame:
+    """(dim, position, label): the members of all splits at once, each label once for a dimension.
+
+    The members of a split are the labels of its dimension up to its position. Unlike
+    ``split_members`` this doesn't repeat a label for every split, so it grows with the vectors only.
+    """
+    placed = ordered_dimensions(vectors)
+    last = splits.groupBy("dim").agg(F.max("position").alias("_last"))  # one row for each dimension
+    return placed.join(F.broadcast(last), "dim").where("position <= _last").select("dim", "position", "label")
+
+
 def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0.2, magnification: float = 10.0) -> tuple[np.ndarray, float]:
     """Sides (True, False) of the points and the objective of the best split found by a random walk.
 

@@ -251,7 +251,8 @@ def queries() -> dict[str, Query]:
         "related_300": q(lambda t: _summary_rows(distances.summarise_rowwise(t.points(), t.points(), [1.0 / 64] * 64, normalise=False, keep=300)).select("label", "rank", "neighbour", "distance")),
         "gaps_splits": q(lambda t: _round(splits.gaps(t.vectors()), 6, "gap")),
         "gaps_members": q(lambda t: splits.split_members(t.classes(), splits.gaps(t.classes(), 100))),
-        "centroid_splits": q(lambda t: splits.centroids(t.classes(), seed=5).select("split_id", "weight", F.size("members").alias("members"))),
+        "gaps_member_ranges": q(lambda t: _member_ranges(t)),
+        "centroid_splits": q(lambda t: splits.centroids(t.vectors(), seed=5).select("split_id", "weight", F.size("members").alias("members"))),
         "band_join_pairs": q(lambda t: _round(distances.band_pairs(t.table("part"), 0.05, "p_partkey", "p_retailprice"), 6, "distance")),
         "coordinate_range": q(lambda t: distances.coordinate_range(t.table("part"), "p_retailprice")),
         "matrix_transpose": q(lambda t: _round(algebra.transpose(algebra.to_long(t.classes())).withColumn("value", F.col("value") + NUDGE), 6, "value")),
@@ -283,6 +284,12 @@ def _distilled_spectra(t: Tables) -> DataFrame:
     return _round(table, 7, *(c for c in table.columns if c != "kmer"))
 
 
+def _member_ranges(t: Tables) -> DataFrame:
+    """Members of the splits of gaps_splits."""
+    vectors = t.vectors()
+    return splits.member_ranges(vectors, splits.gaps(vectors))
+
+
 def _class_spectra_distances(t: Tables) -> DataFrame:
     spectra = t.scratch.save(t.by_class())
     labels = spectra.select("label").distinct()

@@ -128,3 +128,30 @@ def test_splits(frame):
     tree = splits.centroids(df, seed=1).collect()
     assert len(tree) == 2 * len(x) - 1  # a full binary tree; its leaves have weight 0
     assert [tuple(r) for r in splits.centroids(df, seed=1).orderBy("split_id").collect()] == sorted((tuple(r) for r in tree), key=lambda r: r[0])
+
+
+def test_member_ranges(frame):
+    import random
+
+    from spectralmill.operators import splits
+
+    random.seed(3)
+    vectors = frame([(f"l{i:02d}", [random.random(), float(i % 5), random.gauss(0, 1)]) for i in range(30)], "label string, coords array<double>")
+    for keep in (4, 10_000):
+        found = splits.gaps(vectors, keep)
+        ranges = splits.member_ranges(vectors, found).collect()
+        expanded = sorted((s.split_id, r.label) for s in found.collect() for r in ranges if r.dim == s.dim and r.position <= s.position)
+        assert expanded == sorted((r.split_id, r.label) for r in splits.split_members(vectors, found).collect())
+        assert len(ranges) <= 30 * 3
+
+
+def test_split_queries_take_all_labels(spark):
+    """Every split of gaps_splits has its members, and centroid_splits splits all labels, not the class means."""
+    from spectralmill.plans.queries import queries
+
+    run = lambda name: queries()[name](spark, "/root/testdata/sf0.001")
+    found, ranges = run("gaps_splits"), run("gaps_member_ranges")
+    assert found.select("dim", "position").subtract(ranges.select("dim", "position")).isEmpty()
+    labels = ranges.select("label").distinct().count()
+    nodes = run("centroid_splits").select("split_id").count()
+    assert nodes >= labels - 1 > 60
