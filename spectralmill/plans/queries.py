@@ -79,9 +79,12 @@ class Tables:
     def point_classes(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").cast("string").alias("label"), F.col("label").cast("string").alias("class_name"))
 
+    def all_sequences(self, letters: str = LETTERS, bases: str = BASES) -> DataFrame:
+        """Texts read as sequences of bases, tagged by language; the tag may be null."""
+        return self.table("documents").select(F.col("lang").alias("tag"), F.translate("text", letters, bases).alias("seq"))
+
     def sequences(self, letters: str = LETTERS, bases: str = BASES) -> DataFrame:
-        """Texts read as sequences of bases, tagged by language."""
-        return self.table("documents").select(F.col("lang").alias("tag"), F.translate("text", letters, bases).alias("seq")).where("tag is not null")
+        return self.all_sequences(letters, bases).where("tag is not null")
 
 
 def _round(frame: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -182,8 +185,7 @@ def _metadata_classes(t: Tables) -> DataFrame:
     return t.metadata().where("class_name is not null")
 
 
-def _by_k(t: Tables) -> DataFrame:
-    sequences = t.sequences()
+def _by_k(sequences: DataFrame) -> DataFrame:
     counted = [count_kmers(sequences, k, "DNA-ds").withColumn("k", F.lit(k)) for k in (3, 4, 5)]
     return workflows.choose_k(counted[0].unionByName(counted[1]).unionByName(counted[2]))
 
@@ -200,6 +202,11 @@ def queries() -> dict[str, Query]:
         "kmer_count_dna_ss": q(lambda t: count_kmers(t.sequences(), 5, "DNA-ss")),
         "kmer_count_protein": q(lambda t: count_kmers(t.sequences("", ""), 3, "protein")),
         "kmer_count_one_spectrum": q(lambda t: count_kmers(t.sequences(), 6, "DNA-ds", label="all")),
+        "kmer_count_all_dna_ds": q(lambda t: count_kmers(t.all_sequences(), 5, "DNA-ds")),
+        "kmer_count_all_dna_ss": q(lambda t: count_kmers(t.all_sequences(), 5, "DNA-ss")),
+        "kmer_count_all_protein": q(lambda t: count_kmers(t.all_sequences("", ""), 3, "protein")),
+        "kmer_count_all_one_spectrum": q(lambda t: count_kmers(t.all_sequences(), 6, "DNA-ds", label="all")),
+        "choose_k_all": q(lambda t: _round(_by_k(t.all_sequences()), 6, "score")),
         "kmer_hash_hex": q(lambda t: t.cells().select("kmer").distinct().select("kmer", hash_hex(F.col("kmer")).alias("code"))),
         "col_stats": _stats("label", 2, 1),
         "col_stats_relative": _stats("label", 0.01, 0.5),
@@ -266,7 +273,7 @@ def queries() -> dict[str, Query]:
         "count_by_class": q(lambda t: workflows.count_by_class(t.metadata(), "class_name")),
         "compare_stored_sums": q(_stored),
         "name_join": q(lambda t: workflows.join_by_name(t.table("documents").select("doc_id", clean_source(F.col("source")).alias("name")), t.table("mix_targets").select(F.col("source").alias("name"), "max_repeats"))),
-        "choose_k": q(lambda t: _round(_by_k(t), 6, "score")),
+        "choose_k": q(lambda t: _round(_by_k(t.sequences()), 6, "score")),
         "filter_reads": q(lambda t: workflows.filter_reads(t.table("documents").select(F.col("doc_id").alias("tag"), F.col("text").alias("seq")), _segments(t))),
     }
 

@@ -83,3 +83,20 @@ def test_transformations(frame):
         Transformation("log")
     with pytest.raises(InvalidTransformation):
         Transformation("pseudo", 1, -1)
+
+
+def test_texts_without_language_are_counted(spark):
+    """The spectrum of all texts is that of the tagged ones and of the untagged ones together."""
+    from pyspark.sql import functions as F
+
+    from spectralmill.operators.sequences import count_kmers
+    from spectralmill.plans.queries import Tables, queries
+
+    where = "/root/testdata/sf0.01"
+    t = Tables(spark, where)
+    untagged = t.all_sequences().where("tag is null")
+    assert not untagged.isEmpty()
+    total = lambda frame: frame.agg(F.sum("count")).first()[0]
+    run = lambda name: total(queries()[name](spark, where))
+    rest = total(count_kmers(untagged, 6, "DNA-ds", label="all"))
+    assert rest > 0 and run("kmer_count_all_one_spectrum") == run("kmer_count_one_spectrum") + rest
