@@ -1,100 +1,159 @@
-"""Texts that stop before their file ended.
+"""Texts that stop before their file ended: vocabulary tries and length evidence.
 
-No single sign is enough: whole files end in any character, with or without a line end.
-Four signs are used, each taken from the corpus itself:
+Two tries are built from the whole corpus, with only what stands before the end of each text:
+of the letters of its words, and of the tokens of its lines (identifiers, numbers and plain
+words as classes). Against them the last word and the last line of a text are known as a
+whole, an unknown proper prefix of known ones, or neither. Beside this stand how many kinds
+of brackets are open, the form of the last line (indentation, first and last token) and
+whether the text ends in a line end.
 
-* length: the text has exactly the greatest length of its source, in characters or bytes,
-  and different texts pile up at that length;
-* word: the text ends in a word that the corpus does not have, but that is a proper prefix
-  of words it does have (looked up in a trie of the corpus vocabulary);
-* broken: the text ends in the mark that decoders put for half a character;
-* ending: its last line has a form in which files that end in a line end hardly ever end.
-
-A text that ends like a text found this way is a copy of it (sign ``copy``).
+What each of these tells is learned from the corpus. Texts that end in a line end show how
+whole files end (their line end taken off). The same texts cut at a place drawn by a hash
+show how texts end that were cut within a line, and cut after a line drawn by it, how those
+end that were cut between lines. A text's end has a probability under each of the three; the
+odds of the two kinds of cuts together against the whole file make its score, with the
+length evidence: the number of different texts of exactly this length over that of the
+lengths below, where hardly any text of the source is longer. Elsewhere the share of cut
+texts, estimated by expectation maximisation over all scores, stands in its place. A text is
+cut if that is more likely than not. All frequencies count different texts, so copies weigh
+once.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralmill.functions.cleaning import clean_source
+from spectralmill.llm.words import slices
+from spectralmill.operators.skew import join_margins
 from spectralmill.scratch import Scratch
 
-_LETTERS = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"[A-Za-z]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
-_FINAL = re.compile(r"[A-Za-z]+$")
-_FIRST = re.compile(r"\w+|[^\w\s]+")
-_ELLIPSIS = re.compile(r"\s*(?:\.\.\.|…)$")
-COMMENT_MARKS = frozenset(("#", "##", "###", "//", ">", "(*", "/*", "*", "<!--", "--"))
-LONGEST_WORD = 64
-TAIL = 120
+_FINAL = re.compile(r"[A-Za-z]+\Z")
+_TOKENS = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|\S")
+_BREAK = re.compile(r"\r\n|\n|\r")
+HALF = "\N{REPLACEMENT CHARACTER}"  # what decoders put for half a character
 SPAN = 20  # lengths below a pile that it is compared with
-FEATURES = "doc_id {kind}, source string, chars bigint, bytes bigint, line_end boolean, shape string, word string, broken boolean, tail bigint, whole_text bigint, vocab_word string, vocab_count bigint"
+WEIGHT = 4.0  # texts that the last token of a line counts for, beside those of the line's whole form
+FEATURES = (
+    "kind string, doc_id {kind}, source string, chars bigint, bytes bigint, whole_text bigint, line_end boolean, broken boolean, "
+    "word string, line bigint, open int, form string, last string, token string, node bigint, complete boolean, low bigint, high bigint"
+)
+COLUMNS = [c.split()[0] for c in FEATURES.split(", ")]
+TYPES = [pa.string(), None, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
 
-def ending_shape(text: str) -> str:
-    """Form of the last line: indentation, first token, last character, number of words, and whether braces stay open."""
-    body = text.rstrip("\r\n")
-    line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :].rstrip()
-    bare = line.lstrip()
-    indent = (len(line) - len(bare) + 3) // 4
-    first = _FIRST.match(bare)
-    head = first.group()[:32] if first else ""
-    if head in COMMENT_MARKS:
-        head = "comment"
-    elif re.fullmatch(r"[A-Z][a-z]*", head):
-        head = "Word"
-    elif head[:1].isdigit():
-        head = "9"
-    elif re.match(r"\w", head) and not re.fullmatch(r"[a-z]+", head):
-        head = "name"
-    last = bare[-1:]
-    last = "a" if last.isalpha() else "9" if last.isdigit() else last
-    return f"{min(indent, 2)} {head} {last} {min(6, len(bare.split(None, 6)))} {int(text.count('{') > text.count('}'))}"
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed) - (1 << 63)
+
+
+def line_tokens(line: str) -> list[str]:
+    """Classes of a line's tokens, runs of one class once: its first plain word as it is, other plain words w, capitalised ones W, other names I, numbers 9, and signs."""
+    out: list[str] = []
+    for token in _TOKENS.findall(line):
+        first = token[0]
+        if first.isascii() and (first.isalpha() or first == "_"):
+            plain = token.isalpha()
+            kind = (token if not out else "w") if plain and token.islower() else "W" if plain and token[1:].islower() or len(token) == 1 and plain else "I"
+        else:
+            kind = "9" if first in "0123456789" else token
+        if not (out and out[-1] == kind and kind in ("w", "W", "I", "9")):
+            out.append(kind)
+    return out
+
+
+def nodes_of(tokens: list[str]) -> list[int]:
+    """The trie nodes on the way to a line: for each of its beginnings a 64-bit hash of all tokens so far."""
+    out, node = [], 0
+    for token in tokens:
+        node = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), node)
+        out.append(node)
+    return [n - (1 << 63) for n in out]
 
 
 def final_word(text: str) -> str | None:
-    """The last part of the identifier or word that the text ends in, in lower case; an ellipsis is passed over."""
-    end = text[-4 * LONGEST_WORD :].rstrip("�")
-    found = _FINAL.search(_ELLIPSIS.sub("", end))
-    return _PARTS.findall(found.group())[-1].lower()[: LONGEST_WORD + 1] if found else None
+    """The last part of the name or word that the text ends in, in lower case; null if it ends in another sign."""
+    end = len(text)
+    while end and text[end - 1].isascii() and text[end - 1].isalpha():
+        end -= 1
+    return _PARTS.findall(text[end:])[-1].lower() if end < len(text) else None
+
+
+def ending(text: str) -> tuple:
+    """(word, line, open, form, last) of the end of a text, a line end at its end taken off."""
+    body = text.rstrip("\r\n")
+    line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :]
+    tokens = line_tokens(line)
+    nodes = nodes_of(tokens)
+    opened = sum(body.count(a) > body.count(b) for a, b in ("()", "[]", "{}"))
+    indent = min(2, (len(line) - len(line.lstrip()) + 3) // 4)
+    first, last = (tokens[0], tokens[-1]) if tokens else ("", "")
+    last = "w" if len(tokens) == 1 and last.isalpha() and last.islower() else last
+    return final_word(body), nodes[-1] if nodes else 0, opened, f"{indent} {first} {last}", last
+
+
+def _batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t or doc_type) for c, t in zip(columns, TYPES)], names=COLUMNS)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns: list[list] = [[] for _ in range(8)]
-        raw: Counter[str] = Counter()
-        texts = batch.column("text").to_pylist()
-        for text in texts:
-            ended = text.endswith(("\n", "\r"))
-            word = None if ended else final_word(text)
-            raw.update(_LETTERS.findall(text))
-            if not ended and (cut := _FINAL.search(text[-4 * LONGEST_WORD :])):
-                raw[cut.group()] -= 1
-            tail = xxhash.xxh64_intdigest(" ".join(text[-4 * TAIL :].split())[-TAIL:].encode("utf-8", "replace"))
+    """Rows of kinds text (a text's end), cut, edge and stop (the end of a whole text that was cut at a drawn place, which may be an edge of a line, or after a drawn line), word and line (the tries' entries)."""
+    for batch in (whole.slice(begin, end - begin) for whole in batches for begin, end in slices(whole.column("text"), 16 << 20)):
+        doc_type, rows = batch.column("doc_id").type, []
+        names: dict[str, list[int]] = {}  # of each name the least and greatest hash of the texts that have it
+        lines: dict[str, list[int]] = {}
+        for doc, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
             data = text.encode("utf-8", "replace")
-            for column, value in zip(columns, (len(text), len(data), ended, ending_shape(text), word, text.endswith("�"), tail - (1 << 63), xxhash.xxh64_intdigest(data) - (1 << 63))):
-                column.append(value)
-        n = len(texts)
-        words: Counter[str] = Counter()
-        for name, count in raw.items():
-            if count > 0:
-                for part in _PARTS.findall(name):
-                    words[part.lower()] += count
-        words = Counter({w: c for w, c in words.items() if len(w) <= LONGEST_WORD})
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-        names = ["doc_id", "source", "chars", "bytes", "line_end", "shape", "word", "broken", "tail", "whole_text", "vocab_word", "vocab_count"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
-        m = len(words)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, batch.column("source").type), *(pa.nulls(m, k) for k in kinds), pa.array(list(words.keys()), pa.string()), pa.array(list(words.values()), pa.int64())], names=names)
+            own = xxhash.xxh64_intdigest(data) - (1 << 63)
+            ended = text.endswith(("\n", "\r"))
+            rows.append(("text", doc, source, len(text), len(data), own, ended, text.endswith(HALF), *ending(text), None, None, None, None, None))
+            if ended and len(text) > 1:
+                cut = text[: 1 + (own & ((1 << 62) - 1)) % (len(text) - 1)]
+                at = 1 + (own & ((1 << 62) - 1)) % (len(text) - 1)
+                kind = "edge" if text[at - 1] in "\r\n" or text[at] in "\r\n" else "cut"
+                rows.append((kind, None, None, None, None, own, False, False, *ending(text[:at]), None, None, None, None, None))
+                stops = [m.start() for m in _BREAK.finditer(text)]
+                rows.append(("stop", None, None, None, None, own, False, False, *ending(text[: stops[own % len(stops)]]), None, None, None, None, None))
+            before = text if ended else text[: max(text.rfind("\n"), text.rfind("\r")) + 1]
+            inner = before if ended else text[: len(text) - len(_FINAL.search(text).group())] if _FINAL.search(text[-1:]) else text
+            for seen, found in ((names, set(_NAMES.findall(inner))), (lines, set(_BREAK.split(before)))):
+                for x in found:
+                    held = seen.get(x)
+                    if held is None:
+                        seen[x] = [own, own]
+                    elif own < held[0]:
+                        held[0] = own
+                    elif own > held[1]:
+                        held[1] = own
+        yield _batch(rows, doc_type)
+        words: dict[str, list[int]] = {}
+        for name, (low, high) in names.items():
+            for part in _PARTS.findall(name):
+                held = words.setdefault(part.lower(), [low, high])
+                held[0], held[1] = min(held[0], low), max(held[1], high)
+        nothing = (None,) * 12
+        yield _batch([("word", *nothing, word, None, None, low, high) for word, (low, high) in words.items()], doc_type)
+        nodes: dict[tuple[int, bool], list[int]] = {}
+        forms: dict[tuple[str, ...], list[int]] = {}
+        for line, (low, high) in lines.items():
+            held = forms.setdefault(tuple(line_tokens(line)), [low, high])
+            held[0], held[1] = min(held[0], low), max(held[1], high)
+        for form, (low, high) in forms.items():
+            chain = nodes_of(list(form))
+            for at, node in enumerate(chain):
+                held = nodes.setdefault((node, at == len(chain) - 1), [low, high])
+                held[0], held[1] = min(held[0], low), max(held[1], high)
+        yield _batch([("line", *nothing, None, node, complete, low, high) for (node, complete), (low, high) in nodes.items()], doc_type)
 
 
 def vocabulary_trie(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -104,77 +163,133 @@ def vocabulary_trie(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _limits(texts: DataFrame, measure: str, slack: int, least: int) -> DataFrame:
-    """(source, measure): lengths at which different texts of a source pile up, with hardly any longer text.
+    """(source, measure, weight): lengths at which different texts of a source pile up, with hardly any longer text.
 
-    A pile holds ``least`` different texts, most of them of its greatest length, half of all
-    that are as long or longer, and five times as many as any of the ``SPAN`` lengths below. ``slack`` is by how much a cut may stop short so as not to split a character.
+    A pile holds ``least`` different texts, most of them of its greatest length, and half of all
+    that are as long or longer. ``slack`` is by how much a cut may stop short so as not to
+    split a character. weight is the logarithm of the pile's size over the mean number of
+    texts of the ``SPAN`` lengths below, half a text added to both.
     """
-    each = texts.select("source", F.col(measure).alias("length"), "tail").distinct().groupBy("source", "length").agg(F.count("*").alias("texts"))
-    down, up = W.partitionBy("source").orderBy(F.desc("length")), W.partitionBy("source").orderBy("length")
-    longer = F.sum("texts").over(down.rowsBetween(W.unboundedPreceding, -1))
-    below = F.max("texts").over(up.rangeBetween(-slack - SPAN, -slack - 1))
-    piles = each.select("source", "length", "texts", F.coalesce(longer, F.lit(0)).alias("longer"), F.sum("texts").over(up.rangeBetween(-slack, 0)).alias("pile"), F.coalesce(below, F.lit(0)).alias("below"))
-    limits = piles.where((F.col("pile") >= least) & (F.col("pile") >= F.col("longer")) & (F.col("texts") * 2 >= F.col("pile")) & (F.col("texts") >= 5 * F.col("below")))
-    return limits.select("source", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias(measure)).distinct()
-
-
-def find_truncated(documents: DataFrame, least_pile: int = 3, whole_share: float = 0.0005, any_share: float = 0.005) -> DataFrame:
-    """(doc_id, source, signs, truncated), one row for each text that is not null or empty.
-
-    A length counts as a limit if at least ``least_pile`` different texts of the source have
-    it, far more than have the lengths just below, and no more are longer. An ending is a usual one if at
-    least ``whole_share`` of the texts that end in a line end have it, or ``any_share`` of all
-    texts and some text that ends in a line end (if there are any such texts); copies of a text count once. Texts that end in a line end are held unusual only if their last line opens
-    something. Sources are cleaned; texts without source are a source of their own. Repeated
-    rows each get their row; an empty table gives an empty result.
+    each = texts.groupBy("source", F.col(measure).alias("length")).agg(F.count("*").alias("texts"))
+    down, up = W.partitionBy("source").orderBy(F.desc("length")), W.partitionBy("source").orderBy("length")  # one row for each length
+    longer = F.coalesce(F.sum("texts").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.sum("texts").over(up.rangeBetween(-slack - SPAN, -slack - 1)), F.lit(0)) / SPAN
+    piles = each.select("source", "length", "texts", longer.alias("longer"), F.sum("texts").over(up.rangeBetween(-slack, 0)).alias("pile"), below.alias("below"))
+    limits = piles.where((F.col("pile") >= least) & (F.col("pile") >= F.col("longer")) & (F.col("texts") * 2 >= F.col("pile")))
+    weighed = limits.select("source", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias(measure), F.ln((F.col("pile") + 0.5) / (F.col("below") + 0.5)).alias("weight"))
+    return weighed.where("weight > 0").groupBy("source", measure).agg(F.max("weight").alias("weight"))
+
+
+KINDS = ("cut", "stop", "text")
+
+
+def _counted(samples: DataFrame, keys: list[str]) -> DataFrame:
+    return samples.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS))
+
+
+def _frequencies(samples: DataFrame, keys: list[str], totals: dict[str, int], into: str) -> DataFrame:
+    """(keys, into: struct of the logarithms of the keys' frequency among samples of each kind), half a text added to each."""
+    return _counted(samples, keys).select(*keys, F.struct(*(F.ln((F.col(f"_{k}") + 0.5) / (totals[k] + 1)).alias(k) for k in KINDS)).alias(into))
+
+
+def _form_frequencies(samples: DataFrame) -> DataFrame:
+    """(form, last, _form): as ``_frequencies``, of a form among those with its last token; where texts are few all kinds are taken together."""
+    of_form = _counted(samples, ["form", "last"])
+    of_last = of_form.groupBy("last").agg(*(F.sum(f"_{k}").alias(f"_l{k}") for k in KINDS))
+    share = sum(F.col(f"_{k}") for k in KINDS) / sum(F.col(f"_l{k}") for k in KINDS) * WEIGHT
+    return of_form.join(of_last, "last").select("form", "last", F.struct(*(F.ln((F.col(f"_{k}") + share) / (F.col(f"_l{k}") + WEIGHT)).alias(k) for k in KINDS)).alias("_form"))
+
+
+def _prior(scores: DataFrame, rounds: int = 50) -> float:
+    """Logarithm of the odds that a text is cut, by expectation maximisation over the scores' histogram (at most 601 rows)."""
+    rows = scores.groupBy(F.round(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("score"))), 1).alias("s")).agg(F.count("*").alias("n")).collect()
+    total, share = sum(r["n"] for r in rows), 0.05
+    if not total:
+        return 0.0
+    for _ in range(rounds):
+        odds = share / (1 - share)
+        share = sum(r["n"] / (1 + math.exp(-r["s"]) / odds) for r in rows) / total
+        share = min(0.5, max(share, 0.5 / (total + 1)))
+    return math.log(share / (1 - share))
+
+
+def find_truncated(documents: DataFrame, least_pile: int = 3) -> DataFrame:
+    """(doc_id, source, signs, score, truncated), one row for each text that is not null or empty.
+
+    ``documents`` has doc_id, text and source. score is the logarithm of the odds that the
+    text is cut. signs tells what speaks for it: word and line (the last one is an unknown
+    proper prefix in its trie), length (a limit of its source, see ``_limits``), ending (the
+    form of the last line is that of cut texts), broken (half a character at the end, which
+    decides alone), copy (an equal text is cut). An equal text has the same end, so all
+    copies are judged by the greatest length evidence among them. Sources are cleaned; texts without source are a
+    source of their own. Words and lines of one text only are not in the tries. Repeated rows
+    each get their row; an empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession, "truncation")
     kind = dict(documents.dtypes)["doc_id"]
     source = documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("length(text) > 0")
-    both = scratch.save(source.mapInArrow(_features, FEATURES.format(kind=kind)))
-    texts = both.where("vocab_word is null and tail is not null").drop("vocab_word", "vocab_count").withColumn("_source", F.coalesce("source", F.lit("")))
-    vocabulary = both.where("vocab_word is not null").groupBy(F.col("vocab_word").alias("word")).agg(F.sum("vocab_count").alias("n")).where("n >= 2")
-
-    keyed = texts.drop("source").withColumnRenamed("_source", "source")
-    by_chars = _limits(keyed, "chars", 0, least_pile).select(F.col("source").alias("_source"), "chars", F.lit(True).alias("_chars"))
-    by_bytes = _limits(keyed, "bytes", 3, least_pile).select(F.col("source").alias("_source"), "bytes", F.lit(True).alias("_bytes"))
-
-    ends = texts.where("word is not null").select(F.col("word").alias("prefix")).distinct()
-    unknown = ends.join(vocabulary.select(F.col("word").alias("prefix")), "prefix", "left_anti")
-    unknown = vocabulary_trie(vocabulary, unknown).select(F.col("prefix").alias("word"), F.lit(True).alias("_unknown"))
-
-    different = texts.select("shape", "line_end", "whole_text").distinct()
-    shapes = different.groupBy("shape").agg(F.count("*").alias("n"), F.count_if("line_end").alias("whole"))
-    n, whole = shapes.agg(F.sum("n")).scalar(), shapes.agg(F.sum("whole")).scalar()
-    known = (F.col("whole") > 0) | (whole == F.lit(0)) & (F.col("n") > 1)
-    usual = shapes.where(known & ((F.col("whole") >= F.lit(whole_share) * F.greatest(whole, F.lit(1))) | (F.col("n") >= F.lit(any_share) * n)))
-    usual = usual.select("shape", F.lit(True).alias("_usual"))  # fewer than 1 / whole_share + 1 / any_share rows
-
-    opens = F.col("shape").rlike(r"^\S+ .* [{(\[,:=] \d [01]$")
-    joined = (
-        texts.join(by_chars, ["_source", "chars"], "left")
-        .join(by_bytes, ["_source", "bytes"], "left")
-        .join(unknown, "word", "left")
-        .join(F.broadcast(usual), "shape", "left")
-        .select(
-            "doc_id",
-            "source",
-            "tail",
-            F.array_compact(
-                F.array(
-                    F.when(F.col("_chars") | F.col("_bytes"), "length"),
-                    F.when(F.col("_unknown"), "word"),
-                    F.when(F.col("broken"), "broken"),
-                    F.when(F.col("_usual").isNull() & (~F.col("line_end") | opens), "ending"),
-                )
-            ).alias("signs"),
-        )
-    )
-    signed = scratch.save(joined)
-    tails = signed.where(F.size("signs") > 0).select("tail").distinct().withColumn("_copy", F.lit(True))
-    copied = signed.join(tails, "tail", "left")
-    signs = F.when((F.size("signs") == 0) & F.col("_copy"), F.array(F.lit("copy"))).otherwise(F.col("signs"))
-    return copied.select("doc_id", "source", signs.alias("signs")).withColumn("truncated", F.size("signs") > 0)
+    every = scratch.save(source.mapInArrow(_features, FEATURES.format(kind=kind)))
+    ends = every.where("kind not in ('word', 'line')").drop("token", "node", "complete", "low", "high")
+    several = F.min("low") < F.max("high")  # held by two different texts at least
+    vocabulary = scratch.save(every.where("kind = 'word'").groupBy(F.col("token").alias("word")).agg(several.alias("known")).where("known").select("word"))
+    asked = ends.where("word is not null").select(F.col("word").alias("prefix")).distinct()
+    unknown = scratch.save(asked.join(vocabulary.select(F.col("word").alias("prefix")), "prefix", "left_anti"))
+    beginnings = vocabulary_trie(vocabulary, unknown).select("prefix", F.lit(True).alias("_begins"))
+    strange = unknown.join(beginnings, "prefix", "left").select(F.col("prefix").alias("word"), F.when(F.col("_begins"), "prefix").otherwise("other").alias("_word"))
+    nodes = every.where("kind = 'line'").join(ends.select(F.col("line").alias("node")).distinct(), "node", "left_semi")
+    nodes = nodes.groupBy("node", "complete").agg(several.alias("known")).where("known").groupBy("node").agg(F.max("complete").alias("_whole"))
+    lines = nodes.select(F.col("node").alias("line"), F.when(F.col("_whole"), "known").otherwise("prefix").alias("_line"))
+
+    of_word = strange.join(ends.where("word is not null").groupBy("word").agg(F.count("*").alias("_n")), "word")
+    of_line = lines.join(ends.groupBy("line").agg(F.count("*").alias("_n")), "line")
+    # a text's last word is known unless it is in ``strange``, and its last line neither unless it is in ``lines``
+    told = _left(_left(ends, of_word, "word", F.col("word").isNull(), scratch), of_line, "line", F.lit(False), scratch)
+    told = told.withColumns({"_word": F.when(F.col("word").isNull(), "none").otherwise(F.coalesce("_word", F.lit("known"))), "_line": F.coalesce("_line", F.lit("other"))})
+    told = scratch.save(told.drop("word", "line"))
+    once = told.where("kind = 'text'").withColumn("source", F.coalesce("source", F.lit(""))).dropDuplicates(["source", "whole_text"])
+    samples = scratch.save(told.where("kind <> 'text' or line_end").dropDuplicates(["kind", "whole_text"]))
+    held = {r["kind"]: r["n"] for r in samples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    totals = {k: held.get(k, 0) for k in KINDS}
+    by_trie, by_last = (scratch.save(_frequencies(samples, keys, totals, into)) for keys, into in ((["_word", "_line", "open"], "_trie"), (["last"], "_last")))
+    by_form = scratch.save(_form_frequencies(samples))
+    texts = told.where("kind = 'text'").withColumn("_source", F.coalesce("source", F.lit("")))
+    # a line end follows whole texts as often as all texts, no cut within a line, and half of those between lines
+    ended = told.where("kind = 'text'").dropDuplicates(["whole_text"]).agg(F.count_if("line_end").alias("e"), F.count("*").alias("n")).first()
+    follows = {"text": (ended["e"] + 0.5) / (ended["n"] + 1), "cut": 0.5 / (totals["cut"] + 1), "stop": 0.5}
+    edges = (held.get("edge", 0) + 0.5) / (held.get("edge", 0) + totals["cut"] + 1)
+    weight = {"text": 0.0, "cut": math.log(1 - edges), "stop": math.log(edges)}
+    limits = [(m, _limits(once, m, slack, least_pile).select(F.col("source").alias("_source"), m, F.col("weight").alias(f"_by_{m}"))) for m, slack in (("chars", 0), ("bytes", 3))]
+    judged = texts
+    for measure, limit in limits:
+        judged = judged.join(F.broadcast(limit), ["_source", measure], "left") if limit.count() < 100_000 else judged.join(limit, ["_source", measure], "left")
+    judged = judged.join(by_trie, ["_word", "_line", "open"], "left").join(by_last, "last", "left").join(by_form, ["form", "last"], "left")
+    rare = F.struct(*(F.lit(math.log(0.5 / (totals[k] + 1))).alias(k) for k in KINDS))
+    same = F.struct(*(F.lit(0.0).alias(k) for k in KINDS))
+    judged = judged.withColumns({"_trie": F.coalesce("_trie", rare), "_last": F.coalesce("_last", rare), "_form": F.coalesce("_form", same)})
+    chance = {k: F.col(f"_trie.{k}") + F.col(f"_last.{k}") + F.col(f"_form.{k}") + F.when(F.col("line_end"), math.log(follows[k])).otherwise(math.log(1 - follows[k])) + weight[k] for k in KINDS}
+    most = F.greatest(chance["cut"], chance["stop"])
+    either = most + F.log1p(F.exp(F.least(chance["cut"], chance["stop"]) - most))
+    length = F.greatest(F.coalesce("_by_chars", F.lit(0.0)), F.coalesce("_by_bytes", F.lit(0.0)))
+    form = F.greatest(F.col("_last.cut") + F.col("_form.cut"), F.col("_last.stop") + F.col("_form.stop")) > F.col("_last.text") + F.col("_form.text")
+    own = (either - chance["text"]) if totals["cut"] else F.lit(0.0)
+    judged = scratch.save(judged.select("doc_id", "source", "whole_text", "broken", "open", "_word", "_line", length.alias("_length"), form.alias("_ending"), own.alias("_own")))
+    of_text = scratch.save(judged.groupBy("whole_text").agg(F.max("_length").alias("_best"), F.max("_own").alias("_o"), F.count("*").alias("_n")))
+    prior = _prior(of_text.select((F.col("_o") + F.col("_best")).alias("score")))
+    scored = join_margins(judged, of_text.drop("_o"), "whole_text", "_n").withColumn("score", F.col("_own") + F.greatest(F.lit(prior), F.when(F.col("_best") > 0, F.col("_best"))))
+    truncated = F.col("broken") | (F.col("score") > 0)
+    signs = F.array_compact(F.array(
+        F.when(F.col("_word") == "prefix", "word"), F.when(F.col("_line") == "prefix", "line"), F.when(F.col("_length") > 0, "length"),
+        F.when(F.col("_ending"), "ending"), F.when(F.col("broken"), "broken"), F.when((F.col("_best") > 0) & (F.col("_length") == 0), "copy"),
+    ))
+    return scored.select("doc_id", "source", F.when(truncated, signs).otherwise(F.array().cast("array<string>")).alias("signs"), F.round("score", 3).alias("score"), truncated.alias("truncated"))
+
+
+def _left(rows: DataFrame, margins: DataFrame, key: str, without: Column, scratch: Scratch) -> DataFrame:
+    """Left join with ``margins`` (_n: rows of the key); keys that hold many rows are broadcast, and rows ``without`` a key are passed by."""
+    margins = scratch.save(margins)
+    joined = join_margins(rows.where(~without), margins, key, "_n").drop("_n")
+    rest = rows.where(~without).join(margins.select(key), key, "left_anti").unionByName(rows.where(without))
+    return joined.unionByName(rest, allowMissingColumns=True)
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:

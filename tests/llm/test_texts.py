@@ -5,7 +5,7 @@ import pytest
 
 from spectralmill.llm.leaks import PassageIndex, find_leaks
 from spectralmill.llm.mixing import mix_sources, token_counts
-from spectralmill.llm.truncation import ending_shape, final_word, find_truncated, truncation_by_source, vocabulary_trie
+from spectralmill.llm.truncation import ending, final_word, find_truncated, line_tokens, nodes_of, truncation_by_source, vocabulary_trie
 from spectralmill.llm.words import words_of
 
 DOCS = "doc_id bigint, text string, item_id string"
@@ -85,9 +85,12 @@ def test_trie(frame):
     assert {r.prefix: r.words for r in nodes.collect()} == {"tig": 2, "tigh": 1}
 
 
-def test_forms():
-    assert final_word("return foldLate") == "late" and final_word("earl ...") == "earl" and final_word("x = 1") is None and final_word("") is None
-    assert ending_shape("a\n// Split the") == ending_shape("b\n# Join the") != ending_shape("c\n}\n")
+def test_ends():
+    assert final_word("return foldLate") == "late" and final_word("earl ...") is None and final_word("x = 1") is None and final_word("") is None
+    assert line_tokens("  return foldLate(x_1, 12) the old Name") == ["return", "I", "(", "I", ",", "9", ")", "w", "W"]
+    assert nodes_of(line_tokens("if a_b then"))[:2] == nodes_of(line_tokens("if c_d")) != nodes_of(line_tokens("while c_d"))
+    assert ending("f(\n    if x_y {\n") == ending("f(\n    if x_y {") and ending("f(\n    if x_y {")[2] == 2
+    assert ending("")[:2] == (None, 0)
 
 
 def test_truncation(frame):
@@ -100,7 +103,7 @@ def test_truncation(frame):
     docs = [(i, whole(random.randint(2, 9)).rstrip("\n") + ("\n" if i % 4 else ""), "full") for i in range(400)]
     limited = [(1000 + i, whole(12)[:300], "short") for i in range(40)]
     broken = [(2000, whole(4) + "def marker_tally(x):\n    return buck", "full"), (2001, whole(4) + "def marker_tally(x):\n    wind�", "full")]
-    copies = [(3000 + i, "# licence\n" + limited[i][1], "full") for i in range(3)]
+    copies = [(3000 + i, limited[i][1], "full") for i in range(3)]
     odd = [(4000, None, "full"), (4001, "", "full"), (4002, whole(3), None)]
     table = frame([(*r, "clash") for r in docs + limited + broken + copies + odd], "doc_id bigint, text string, source string, signs string")
     result = find_truncated(table)
@@ -110,6 +113,21 @@ def test_truncation(frame):
     by = {r.source: r for r in truncation_by_source(result).collect()}
     assert by["short"].share == 1.0 and by[None].texts == 1
     assert find_truncated(table.limit(0)).count() == 0
+    signs = {r.doc_id: r.signs for r in result.where("truncated").collect()}
+    assert all("length" in signs[d] for d, _, _ in limited) and all("copy" in signs[d] for d, _, _ in copies) and "broken" in signs[2001]
+
+
+def test_length_decides_between_equal_ends(frame):
+    """Whole-looking ends at the limit of a source are cut, the same ends elsewhere are not."""
+    random.seed(5)
+    names = ["tally", "marker", "window", "folder", "ledger", "bucket"]
+    line = lambda: f"{random.choice(names)}_{random.choice(names)} = {random.randint(1, 9)}\n"
+    docs = [(i, "".join(line() for _ in range(random.randint(4, 60))), "free") for i in range(500)]
+    docs += [(1000 + i, "x" * (1199 - len(t)) + "\n" + t, "capped") for i, t in enumerate("".join(line() for _ in range(30)) for _ in range(60))]
+    docs = [(i, t[:1200], s) for i, t, s in docs]
+    found = {r.doc_id for r in find_truncated(frame(docs, "doc_id bigint, text string, source string")).where("truncated").collect()}
+    assert found == {i for i, t, s in docs if s == "capped"} and all(len(t) == 1200 for i, t, s in docs if s == "capped")
+
 
 
 def test_copies_do_not_make_an_ending_usual(frame):
