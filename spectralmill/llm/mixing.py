@@ -1,8 +1,17 @@
-"""Mixtures with target shares by entropy balancing."""
+"""Mixtures with target shares by entropy balancing.
+
+Of all rates between 0 and the caps under which every source gives its wanted tokens, those
+are taken that lose the least relative entropy against using each document once. They are
+exp(lambda * size), cut off at the cap, with one multiplier lambda for each source: a source
+of which less is wanted than there is leans to its short documents, one of which more is
+wanted to its long ones. The multipliers minimise a convex dual, whose gradient is the gap in
+tokens.
+"""
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +29,7 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_SOURCES = 100_000
 SIZE_CLASSES = 16  # to a doubling of the size
-SUB_BUCKETS = 64
+LEAST_PARTS, ROWS_OF_PART = 64, 1 << 20  # a size class of a source is rounded in parts; at most ROWS_OF_PART rows each, whatever share of all rows it has
 
 
 @lru_cache(maxsize=4)
@@ -58,38 +67,46 @@ def _targets(targets: DataFrame) -> DataFrame:
     return clean.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
 
 
-def solve_rates(sizes: DataFrame, budget: dict[str, tuple[float, float, int]], iterations: int = 40, tolerance: float = 1e-9) -> dict[str, tuple[float, float, float, int]]:
-    """Newton's method on the dual of the balancing problem; source -> (a, b, mean size, cap).
+def dual_sums(sizes: DataFrame, state: dict[str, float], budget: dict[str, tuple[float, float, int]]) -> dict[str, tuple[float, float]]:
+    """source -> (expected tokens, their derivative by the multiplier), both in units of the source's mean size; one aggregation over ``sizes``."""
+    rows = [(s, float(lam), budget[s][1], math.log(budget[s][2])) for s, lam in state.items()]
+    now = F.broadcast(sizes.sparkSession.createDataFrame(rows, "source string, lambda double, mean double, top double"))
+    x = F.col("tokens") / F.col("mean")
+    tilt = F.col("lambda") * x
+    rate = F.exp(F.least("top", tilt))
+    d = F.col("documents")
+    joined = sizes.join(now, "source").select("source", (d * x * rate).alias("g"), F.when(tilt < F.col("top"), d * x * x * rate).otherwise(0.0).alias("h"))
+    return {r["source"]: (r["g"], r["h"]) for r in joined.groupBy("source").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+
+
+def solve_rates(sizes: DataFrame, budget: dict[str, tuple[float, float, int]], iterations: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
+    """source -> multiplier, by Newton's method on the dual, all sources at once.
 
     ``sizes`` has source, tokens and documents (how many of this size). ``budget`` gives for
-    each source its tokens wanted, its tokens at hand times documents at hand, and its cap.
-    The rate of a document of t tokens is cap / (1 + exp(-(a + b t / mean))): of all rates
-    between 0 and the cap these lose the least entropy, while a source's expected tokens and
-    expected documents meet their targets (its tokens wanted, at its own mean size). Each
-    iteration is one aggregation over ``sizes``; only sums of each source reach the driver.
+    each source its tokens wanted, its mean size and its cap. The rate of a document of t
+    tokens is min(cap, exp(lambda * t / mean)). Each iteration is one aggregation over
+    ``sizes``; only the sums of each source reach the driver. A step that leaves the interval
+    in which the solution is known to lie is replaced by halving it.
     """
-    spark = sizes.sparkSession
-    state = {s: [0.0, 0.0] for s in budget}
+    state = dict.fromkeys(budget, 0.0)
+    low, high = dict.fromkeys(budget, -math.inf), dict.fromkeys(budget, math.inf)
+    open_ = set(budget)
     for _ in range(iterations):
-        rows = [(s, a, b, budget[s][1], budget[s][2]) for s, (a, b) in state.items()]
-        now = F.broadcast(spark.createDataFrame(rows, "source string, a double, b double, mean double, cap int"))
-        x = F.col("tokens") / F.col("mean")
-        share = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * x)))
-        d, v = F.col("documents"), share * (1 - share)
-        sums = sizes.join(now, "source").select("source", d.alias("d"), x.alias("x"), share.alias("p"), v.alias("v"), "cap")
-        sums = sums.groupBy("source").agg(*(F.sum(F.col("cap") * F.col("d") * e).alias(n) for n, e in (("g0", F.col("p")), ("g1", F.col("p") * F.col("x")), ("h00", F.col("v")), ("h01", F.col("v") * F.col("x")), ("h11", F.col("v") * F.col("x") * F.col("x")))))
-        worst = 0.0
-        for r in sums.collect():
-            wanted = budget[r["source"]][0] / budget[r["source"]][1]  # in documents of mean size
-            gap = np.array([wanted - r["g0"], wanted - r["g1"]])
-            worst = max(worst, float(np.abs(gap).max()) / wanted)
-            hessian = np.array([[r["h00"], r["h01"]], [r["h01"], r["h11"]]])
-            step = np.linalg.lstsq(hessian, gap, rcond=1e-10)[0]
-            step *= min(1.0, 2.0 / max(1e-300, float(np.abs(step).max())))
-            state[r["source"]] = [state[r["source"]][0] + float(step[0]), state[r["source"]][1] + float(step[1])]
-        if worst < tolerance:
+        for s, (g, h) in dual_sums(sizes, {s: state[s] for s in open_}, budget).items():
+            wanted, lam = budget[s][0] / budget[s][1], state[s]
+            gap = wanted - g
+            if abs(gap) <= tolerance * wanted:
+                open_.discard(s)
+                continue
+            (low if gap > 0 else high)[s] = lam
+            step = min(4.0, max(-4.0, gap / h)) if h > 0 else math.copysign(1.0, gap)
+            then = lam + step
+            if not low[s] < then < high[s]:
+                then = (low[s] + high[s]) / 2
+            state[s] = then
+        if not open_:
             break
-    return {s: (a, b, budget[s][1], budget[s][2]) for s, (a, b) in state.items()}
+    return state
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +119,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     all shares met. With it, a source that can't fill its part is used up to its cap.
 
     copies: doc_id, source, tokens, rate, copies, one row for each document of a target
-    source with at least one token; the rate is the entropy-balanced expected number of
-    copies, rounded by systematic sampling in order of size, so that the sums of a source
-    hardly differ from the expected ones. shares: source, target_share, max_repeats,
+    source with at least one token; the rate is the tilted expected number of copies, rounded
+    by systematic sampling in order of size, so that the sums of a source hardly differ from
+    the expected ones. shares: source, target_share, max_repeats,
     documents, tokens_available, tokens, actual_share, one row for each target.
     """
     spark = documents.sparkSession
@@ -129,19 +146,20 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
         else:
             budget[s] = (wanted, r["tokens"] / r["documents"], r["max_repeats"])
     solved = solve_rates(histogram, budget) if budget else {}
-    rows = [(s, *v, False) for s, v in solved.items()] + [(s, 0.0, 0.0, 1.0, m, True) for s, m in full.items()]
-    of_source = F.broadcast(spark.createDataFrame(rows, "source string, a double, b double, mean double, cap int, used_up boolean"))
+    rows = [(s, lam, budget[s][1], budget[s][2], False) for s, lam in solved.items()] + [(s, 0.0, 1.0, m, True) for s, m in full.items()]
+    of_source = F.broadcast(spark.createDataFrame(rows, "source string, lambda double, mean double, cap int, used_up boolean"))
     cap = F.col("cap").cast("double")
-    rate = F.when(F.col("used_up"), cap).otherwise(cap / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("tokens") / F.col("mean")))))
+    rate = F.when(F.col("used_up"), cap).otherwise(F.least(cap, F.exp(F.least(F.ln(cap), F.col("lambda") * F.col("tokens") / F.col("mean")))))
+    parts = max(LEAST_PARTS, -(-sum(r["documents"] for r in usable.values()) // ROWS_OF_PART))
     rated = mine.join(of_source, "source").select("doc_id", "source", "tokens", rate.alias("rate"))
-    rated = rated.withColumns({"_class": F.floor(F.log2("tokens") * SIZE_CLASSES), "_hash": F.xxhash64(F.lit(seed), F.col("doc_id"))}).withColumn("_sub", F.pmod("_hash", F.lit(SUB_BUCKETS)))
+    rated = rated.withColumns({"_class": F.floor(F.log2("tokens") * SIZE_CLASSES), "_hash": F.xxhash64(F.lit(seed), F.col("doc_id"))}).withColumn("_sub", F.pmod("_hash", F.lit(parts)))
     keys = ["source", "_class", "_sub"]
     before = rated.groupBy(*keys).agg(F.sum("rate").alias("_sum"))
     before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_class", "_sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
     upto = F.sum("rate").over(W.partitionBy(*keys).orderBy("_hash", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     placed = rated.withColumn("_upto", upto).join(before, keys)
     upper = F.col("_before") + F.col("_upto") + 0.5
-    copies = placed.select("doc_id", "source", "tokens", F.round("rate", 6).alias("rate"), F.least(F.ceil("rate"), F.floor(upper) - F.floor(upper - F.col("rate"))).cast("int").alias("copies"))
+    copies = scratch.save(placed.select("doc_id", "source", "tokens", F.round("rate", 6).alias("rate"), F.least(F.ceil("rate"), F.floor(upper) - F.floor(upper - F.col("rate"))).cast("int").alias("copies")))
     used = copies.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     whole = used.agg(F.sum("tokens")).scalar()
     shares = (

@@ -112,6 +112,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("actual_share", F.round("actual_share", 6))
 
 
+def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of p7_shares: the sources, their documents with text, and whether share and caps are met."""
+    copies, shares = mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
+    most = copies.groupBy("source").agg(F.max("copies").alias("most"))
+    wanted = F.when(F.col("documents") > 0, F.col("target_share")).otherwise(0.0) / shares.where("documents > 0").agg(F.sum("target_share")).scalar()
+    return shares.join(most, "source", "left").select(
+        "source", "target_share", "max_repeats", "documents", F.round(wanted, 6).alias("wanted_share"),
+        (F.abs(F.col("actual_share") - wanted) <= 0.005).alias("share_met"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_met"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_truncated(_read(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
@@ -134,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": p6_found,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p7_sources": p7_sources,
         "p8_found": p8_found,
         "p8_sources": p8_sources,
     }

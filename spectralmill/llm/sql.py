@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectralmill.plans.sql import CELLS, VECTORS
+from spectralmill.plans.sql import BLANKS, CELLS, VECTORS
 
 MARGINS = f"""{CELLS}, by_label AS (
   SELECT label, CAST(sum(count) AS BIGINT) AS record_total FROM cells GROUP BY label
@@ -51,5 +51,13 @@ def oracle_sql() -> dict[str, str]:
  item_runs AS (SELECT DISTINCT id AS item_id, lower(array_to_string(w[i : i + 19], ' ')) AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM item_words)),
  doc_runs AS (SELECT DISTINCT id AS doc_id, lower(array_to_string(w[i : i + 19], ' ')) AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM doc_words))
 SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
+        "p7_sources": f"""WITH want AS (
+  SELECT lower(trim(source, {BLANKS})) AS source, max(target_share) AS target_share, min(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats >= 1 GROUP BY 1
+), have AS (
+  SELECT lower(trim(source, {BLANKS})) AS source, count(*) AS documents FROM documents WHERE length(text) > 0 GROUP BY 1
+), joined AS (
+  SELECT want.source, target_share, max_repeats, coalesce(documents, 0) AS documents FROM want LEFT JOIN have USING (source)
+) SELECT source, target_share, CAST(max_repeats AS INTEGER) AS max_repeats, documents, round(CASE WHEN documents > 0 THEN target_share ELSE 0 END / (SELECT sum(target_share) FROM joined WHERE documents > 0), 6) AS wanted_share,
+  true AS share_met, true AS cap_met FROM joined""",
         "p5_terms": f"{MARKED} SELECT kmer, non_zero, sum, mark FROM marked",
     }

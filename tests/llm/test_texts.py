@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import pytest
 
 from spectralmill.llm.leaks import PassageIndex, find_leaks
-from spectralmill.llm.mixing import mix_sources, token_counts
+from spectralmill.llm.mixing import dual_sums, mix_sources, solve_rates, token_counts
 from spectralmill.llm.truncation import ending, final_word, find_truncated, line_tokens, nodes_of, truncation_by_source, vocabulary_trie
 from spectralmill.llm.words import words_of
 
@@ -60,10 +61,36 @@ def test_mixing(frame):
     rows = copies.collect()
     most = {"big": 1, "mid": 3, "rare": 4}
     assert all(0 <= r.copies <= most[r.source] for r in rows) and 9000 not in {r.doc_id for r in rows}
-    # the tilt doesn't favour short or long documents
-    for s in most:
-        used = [r.rate for r in rows if r.source == s]
-        assert max(used) - min(used) < 1e-3
+    # rates are tilted by size: of a source that is thinned out short documents are favoured, of one that is repeated long ones
+    for s, repeated in (("big", False), ("rare", True)):
+        used = sorted((r.tokens, r.rate) for r in rows if r.source == s)
+        rates = [rate for _, rate in used]
+        assert rates == sorted(rates, reverse=not repeated) and max(rates) - min(rates) > 0.05
+        # every rate is exp(lambda * size), cut off at the cap
+        free = [(t, math.log(rate)) for t, rate in used if 0.01 < rate < most[s] - 1e-6]
+        assert len({round(x / t, 4) for t, x in free if t > 50}) <= 2
+    assert {r.rate for r in rows if r.source == "mid"} == {3.0}  # the scarcest source is used up
+
+
+def test_dual(frame):
+    """The gradient of the dual is the gap in tokens: not 0 at the start, 0 at the solution; the solution is that of a plain search."""
+    random.seed(3)
+    sizes = [(s, random.randint(1, 3000), random.randint(1, 9)) for s in "abc" for _ in range(300)]
+    table = frame(sizes, "source string, tokens bigint, documents bigint")
+    have = {s: sum(t * d for x, t, d in sizes if x == s) for s in "abc"}
+    docs = {s: sum(d for x, t, d in sizes if x == s) for s in "abc"}
+    budget = {"a": (have["a"] * 0.07, have["a"] / docs["a"], 1), "b": (have["b"] * 2.9, have["b"] / docs["b"], 3), "c": (have["c"] * 1.4, have["c"] / docs["c"], 5)}
+    gap = lambda state: {s: abs(g * budget[s][1] / budget[s][0] - 1) for s, (g, _) in dual_sums(table, state, budget).items()}
+    assert min(gap(dict.fromkeys("abc", 0.0)).values()) > 0.1
+    solved = solve_rates(table, budget)
+    assert max(gap(solved).values()) < 1e-6
+    for s, (wanted, mean, cap) in budget.items():
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            tokens = sum(t * d * min(cap, math.exp(min(700, mid * t / mean))) for x, t, d in sizes if x == s)
+            low, high = (mid, high) if tokens < wanted else (low, mid)
+        assert solved[s] == pytest.approx(low, rel=1e-5)
 
 
 def test_mixing_total_and_empty(frame):
