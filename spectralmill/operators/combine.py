@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralmill.errors import ClassesLabelNotFound, ClassLabelIsAlsoSpectrumName, EmptySelection, UnknownCombinationCriterion
+from spectralmill.operators.order import place_rows
 from spectralmill.operators.skew import join_margins
 
 
@@ -16,7 +17,8 @@ def combine_by_group(cells: DataFrame, groups: DataFrame, criterion: str = "mean
     ``groups`` has label and group. Each spectrum is rescaled to the greatest sum of its
     group. mean adds the rescaled counts up; median takes the upper median over the group's
     spectra with a positive sum, zeros included, times the number of its spectra. Results
-    are truncated to whole numbers, and those that become 0 aren't stored. Before
+    are truncated to whole numbers (BIGINT, so that large classes don't overflow), and those
+    that become 0 aren't stored. Before
     truncation the value is rounded to 6 decimals, so that the order of summation can't
     tip a whole number over. Labels without group are left out.
     """
@@ -34,7 +36,7 @@ def combine_by_group(cells: DataFrame, groups: DataFrame, criterion: str = "mean
         # counted from above, zeros come last: a place beyond the stored values is a zero
         ranked = scaled.withColumn("_place", F.row_number().over(W.partitionBy("label", "kmer").orderBy(F.desc("v"))))
         combined = ranked.where(F.col("_place") == F.col("usable") - F.floor(F.col("usable") / 2)).select("label", "kmer", (F.col("v") * F.col("found")).alias("v"))
-    return combined.select("label", "kmer", F.round("v", 6).cast("int").cast("long").alias("count")).where("count > 0")
+    return combined.select("label", "kmer", F.round("v", 6).cast("long").alias("count")).where("count > 0")
 
 
 def combine_selected(cells: DataFrame, selected: DataFrame, label: str, criterion: str = "mean") -> DataFrame:
@@ -72,5 +74,5 @@ def class_indicator(metadata: DataFrame, field: str) -> DataFrame:
     """(label, indicator): number of the label's class, in the order of the classes' smallest labels."""
     groups = class_groups(metadata, field)
     first = groups.groupBy("group").agg(F.min("label").alias("first"))
-    ranked = first.withColumn("indicator", F.expr("row_number() over (order by first, `group`)") - 1)
+    ranked = place_rows(first, [], ["first", "group"], "_at").withColumn("indicator", F.col("_at") - 1)
     return groups.join(ranked, groups["group"].eqNullSafe(ranked["group"])).select("label", F.col("indicator").cast("int").alias("indicator"))

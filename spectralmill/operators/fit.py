@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralmill.errors import InsufficientElements
+from spectralmill.operators.order import place_rows
 from spectralmill.operators.skew import join_margins
 from spectralmill.scratch import Scratch
 
@@ -38,8 +39,8 @@ def keep_kmers(values: DataFrame, keep: DataFrame) -> DataFrame:
 def sample_kmers(values: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """The floor(n * fraction) k-mers of the smallest seeded hashes, with all their values."""
     known = values.select("kmer").distinct()
-    chosen = known.orderBy(F.xxhash64(F.lit(seed), "kmer"), "kmer").limit(int(known.count() * fraction))
-    return values.join(chosen, "kmer", "left_semi")
+    placed = place_rows(known.withColumn("_h", F.xxhash64(F.lit(seed), "kmer")), [], ["_h", "kmer"], "_at")
+    return values.join(placed.where(F.col("_at") <= int(known.count() * fraction)).select("kmer"), "kmer", "left_semi")
 
 
 def threshold_kmers(values: DataFrame, fraction: float) -> DataFrame:

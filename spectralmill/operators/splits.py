@@ -36,8 +36,10 @@ def gaps(vectors: DataFrame, keep: int | str = 10_000) -> DataFrame:
     placed = ordered_dimensions(vectors)
     after = placed.select("dim", (F.col("position") - 1).alias("position"), F.col("x").alias("next"))
     found = placed.join(after, ["dim", "position"]).select("dim", (F.col("next") - F.col("x")).alias("gap"), "position")
-    ordered = found.orderBy(F.desc("gap"), "dim", "position")
-    top = ordered if keep == "all" else ordered.limit(keep)
+    if keep == "all":
+        ranked = place_rows(found.withColumn("_down", -F.col("gap")), [], ["_down", "dim", "position"], "split_id")
+        return ranked.select(F.col("split_id").cast("int").alias("split_id"), "dim", "gap", "position")
+    top = found.orderBy(F.desc("gap"), "dim", "position").limit(keep)  # at most ``keep`` rows are numbered by one task
     return top.withColumn("split_id", F.row_number().over(W.orderBy(F.desc("gap"), "dim", "position"))).select(F.col("split_id").cast("int").alias("split_id"), "dim", "gap", "position")
 
 
