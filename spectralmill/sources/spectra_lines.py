@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectralmill.operators.carry import carry_forward
-from spectralmill.operators.skew import join_margins
+from spectralmill.operators.skew import HOT_KEYS, join_margins
+from spectralmill.scratch import Scratch
 
 KMER = r"\A[ACGTacgt]{12}\z"
 NUMBER = r"\A[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
@@ -45,6 +46,28 @@ def value_dictionary(values: DataFrame) -> DataFrame:
     return distinct.withColumn("number", number).withColumn("reason", reason)
 
 
+def _checked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split lines that are written once, each with the keys (column, value) of its values, and the dictionary of all values, written once too."""
+    scratch = Scratch(lines.sparkSession, "lines")
+    column = F.when(F.col("name") == "", "label").otherwise("v")
+    sound = F.col("structure").isNull()
+    split = split_lines(lines).withColumns({
+        "_name": F.when(sound, F.struct(F.lit("name").alias("column"), F.col("name").alias("value"))),
+        "_v": F.when(sound, F.struct(column.alias("column"), F.col("v").alias("value"))),
+    })
+    split = scratch.save(split)
+    values = split.where("structure is null").select(F.explode(F.array("_name", "_v")).alias("x")).select("x.*")
+    return split, scratch.save(value_dictionary(values))
+
+
+def _judge(split: DataFrame, names: DataFrame, others: DataFrame) -> DataFrame:
+    """Adds ``reason``, given the reasons of names and of other values; a value without entry is valid."""
+    names = names.select(F.struct("column", "value").alias("_name"), "n", F.col("reason").alias("_bad_name"))
+    others = others.select(F.struct("column", "value").alias("_v"), "n", "number", F.col("reason").alias("_bad_v"))
+    joined = join_margins(join_margins(split, names, "_name", "n", "left").drop("n"), others, "_v", "n", "left")
+    return joined.select("line_id", "file_name", "line_no", "name", "v", "number", F.coalesce("structure", "_bad_name", "_bad_v").alias("reason"))
+
+
 def check_lines(lines: DataFrame) -> DataFrame:
     """Every line with name, v, number and ``reason``, the first reason to fail or null.
 
@@ -55,23 +78,20 @@ def check_lines(lines: DataFrame) -> DataFrame:
     k-mer whose value is no plain number up to 2147483647). One trailing carriage return is
     no part of a line. Lines with equal ids are judged one by one.
     """
-    split = split_lines(lines)
-    sound = split.where("structure is null")
-    column = F.when(F.col("name") == "", "label").otherwise("v")
-    keyed = sound.withColumns({"_name": F.struct(F.lit("name").alias("column"), F.col("name").alias("value")), "_v": F.struct(column.alias("column"), F.col("v").alias("value"))})
-    values = keyed.select(F.explode(F.array("_name", "_v")).alias("x")).select("x.*")
-    known = value_dictionary(values).select(F.struct("column", "value").alias("key"), "n", "number", "reason")
-    names = known.where("key.column = 'name'").select(F.col("key").alias("_name"), "n", F.col("reason").alias("_bad_name"))
-    others = known.where("key.column <> 'name'").select(F.col("key").alias("_v"), "n", "number", F.col("reason").alias("_bad_v"))
-    judged = join_margins(join_margins(keyed, names, "_name", "n").drop("n"), others, "_v", "n")
-    judged = judged.select("line_id", "file_name", "line_no", "name", "v", "number", F.coalesce("_bad_name", "_bad_v").alias("reason"))
-    failed = split.where("structure is not null").select("line_id", "file_name", "line_no", "name", "v", F.lit(None).cast("double").alias("number"), F.col("structure").alias("reason"))
-    return failed.unionByName(judged)
+    split, known = _checked(lines)
+    return _judge(split, _entries(known, "column = 'name'"), known.where("column <> 'name'"))
+
+
+def _entries(known: DataFrame, which: str) -> DataFrame:
+    """The invalid values, and those so frequent that a join has to know them; all others are valid if they are missing."""
+    frequent = F.col("n") * HOT_KEYS > known.agg(F.sum("n")).scalar() / 2  # every line has two values
+    return known.where(which).where(F.col("reason").isNotNull() | frequent)
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    """(line_id, reason) of the lines that fail; see ``check_lines``."""
-    return check_lines(lines).where("reason is not null").select("line_id", "reason")
+    """(line_id, reason) of the lines that fail; see ``check_lines``. Only invalid values are joined back."""
+    split, known = _checked(lines)
+    return _judge(split, _entries(known, "column = 'name'"), _entries(known, "column <> 'name'")).where("reason is not null").select("line_id", "reason")
 
 
 def load_lines(lines: DataFrame) -> DataFrame:

@@ -34,8 +34,12 @@ def test_order_and_carry(frame):
 def test_hot_join(frame):
     rows = frame([("hot", i) for i in range(500)] + [(f"c{i}", i) for i in range(20)] + [(None, 1)], "k string, v int")
     margins = rows.where("k is not null").groupBy("k").count()
-    got = join_margins(rows, margins, "k", "count")
-    assert got.count() == 520 and got.where("k = 'hot' and count = 500").count() == 500
+    for small in (8 << 20, 0):  # margins broadcast whole, and only those of hot keys
+        got = join_margins(rows, margins, "k", "count", small_bytes=small)
+        assert got.count() == 520 and got.where("k = 'hot' and count = 500").count() == 500
+        left = join_margins(rows, margins.where("k <> 'c1'"), "k", "count", "left", small_bytes=small)
+        assert left.count() == 521 and {(r.k, r["count"]) for r in left.where("k is null or k = 'c1'").collect()} == {(None, None), ("c1", None)}
+    assert join_margins(rows, margins.limit(0), "k", "count").count() == 0
 
 
 def test_glue(frame):
