@@ -1,11 +1,11 @@
 """Texts that stop before their file ended: vocabulary tries and length evidence.
 
-Two tries are built from the whole corpus, with only what stands before the end of each text:
-of the letters of its words, and of the tokens of its lines (identifiers, numbers and plain
-words as classes). Against them the last word and the last line of a text are known as a
-whole, an unknown proper prefix of known ones, or neither. Beside this stand how many kinds
-of brackets are open, the form of the last line (indentation, first and last token) and
-whether the text ends in a line end.
+Two tries are built from the whole corpus, leaving out a last line without line end: of the
+letters of its words, and of the tokens of its lines (identifiers, numbers and plain words
+as classes). Against them the last word and the last line of a text are known as a whole, an
+unknown proper prefix of known ones, or neither. Beside this stand the last line's last and
+first token and indentation, how many kinds of brackets are open, and whether the text ends
+in a line end.
 
 What each of these tells is learned from the corpus. Texts that end in a line end show how
 whole files end (their line end taken off). The same texts cut at a place drawn by a hash
@@ -15,8 +15,9 @@ odds of the two kinds of cuts together against the whole file make its score, wi
 length evidence: the number of different texts of exactly this length over that of the
 lengths below, where hardly any text of the source is longer. Elsewhere the share of cut
 texts, estimated by expectation maximisation over all scores, stands in its place. A text is
-cut if that is more likely than not. All frequencies count different texts, so copies weigh
-once.
+cut if that is more likely than not. Texts that were cut right after a line end are counted
+among the whole ones at first; each of three rounds takes out as many as the one before
+expects. All frequencies count different texts, so copies weigh once.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralmill.functions.cleaning import clean_source
 from spectralmill.llm.words import slices
-from spectralmill.operators.skew import join_margins
+from spectralmill.operators.skew import HOT_KEYS, join_margins
 from spectralmill.scratch import Scratch
 
 _NAMES = re.compile(r"[A-Za-z]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
-_FINAL = re.compile(r"[A-Za-z]+\Z")
 _TOKENS = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|\S")
 _BREAK = re.compile(r"\r\n|\n|\r")
 HALF = "\N{REPLACEMENT CHARACTER}"  # what decoders put for half a character
@@ -98,7 +98,7 @@ def ending(text: str) -> tuple:
     indent = min(2, (len(line) - len(line.lstrip()) + 3) // 4)
     first, last = (tokens[0], tokens[-1]) if tokens else ("", "")
     last = "w" if len(tokens) == 1 and last.isalpha() and last.islower() else last
-    return final_word(body), nodes[-1] if nodes else 0, opened, f"{indent} {first} {last}", last
+    return final_word(body), nodes[-1] if nodes else 0, opened, f"{indent} {first}", last
 
 
 def _batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
@@ -107,7 +107,7 @@ def _batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kinds text (a text's end), cut, edge and stop (the end of a whole text that was cut at a drawn place, which may be an edge of a line, or after a drawn line), word and line (the tries' entries)."""
+    """Rows of kinds text (a text's end), cut and stop (the end of a whole text that was cut at a drawn place within a line, or after a drawn line), word and line (the tries' entries)."""
     for batch in (whole.slice(begin, end - begin) for whole in batches for begin, end in slices(whole.column("text"), 16 << 20)):
         doc_type, rows = batch.column("doc_id").type, []
         names: dict[str, list[int]] = {}  # of each name the least and greatest hash of the texts that have it
@@ -120,13 +120,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ended and len(text) > 1:
                 cut = text[: 1 + (own & ((1 << 62) - 1)) % (len(text) - 1)]
                 at = 1 + (own & ((1 << 62) - 1)) % (len(text) - 1)
-                kind = "edge" if text[at - 1] in "\r\n" or text[at] in "\r\n" else "cut"
-                rows.append((kind, None, None, None, None, own, False, False, *ending(text[:at]), None, None, None, None, None))
+                if text[at - 1] not in "\r\n" and text[at] not in "\r\n":
+                    rows.append(("cut", None, None, None, None, own, False, False, *ending(text[:at]), None, None, None, None, None))
                 stops = [m.start() for m in _BREAK.finditer(text)]
                 rows.append(("stop", None, None, None, None, own, False, False, *ending(text[: stops[own % len(stops)]]), None, None, None, None, None))
             before = text if ended else text[: max(text.rfind("\n"), text.rfind("\r")) + 1]
-            inner = before if ended else text[: len(text) - len(_FINAL.search(text).group())] if _FINAL.search(text[-1:]) else text
-            for seen, found in ((names, set(_NAMES.findall(inner))), (lines, set(_BREAK.split(before)))):
+            for seen, found in ((names, set(_NAMES.findall(before))), (lines, set(_BREAK.split(before)))):
                 for x in found:
                     held = seen.get(x)
                     if held is None:
@@ -167,50 +166,95 @@ def _limits(texts: DataFrame, measure: str, slack: int, least: int) -> DataFrame
 
     A pile holds ``least`` different texts, most of them of its greatest length, and half of all
     that are as long or longer. ``slack`` is by how much a cut may stop short so as not to
-    split a character. weight is the logarithm of the pile's size over the mean number of
-    texts of the ``SPAN`` lengths below, half a text added to both.
+    split a character. weight is the logarithm of the number of texts of this length over the
+    mean number of texts of the ``SPAN`` lengths below the pile, half a text added to their sum.
     """
     each = texts.groupBy("source", F.col(measure).alias("length")).agg(F.count("*").alias("texts"))
     down, up = W.partitionBy("source").orderBy(F.desc("length")), W.partitionBy("source").orderBy("length")  # one row for each length
     longer = F.coalesce(F.sum("texts").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    below = F.coalesce(F.sum("texts").over(up.rangeBetween(-slack - SPAN, -slack - 1)), F.lit(0)) / SPAN
+    below = (F.coalesce(F.sum("texts").over(up.rangeBetween(-slack - SPAN, -slack - 1)), F.lit(0)) + 0.5) / SPAN
     piles = each.select("source", "length", "texts", longer.alias("longer"), F.sum("texts").over(up.rangeBetween(-slack, 0)).alias("pile"), below.alias("below"))
     limits = piles.where((F.col("pile") >= least) & (F.col("pile") >= F.col("longer")) & (F.col("texts") * 2 >= F.col("pile")))
-    weighed = limits.select("source", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias(measure), F.ln((F.col("pile") + 0.5) / (F.col("below") + 0.5)).alias("weight"))
+    reached = limits.select("source", "below", F.explode(F.sequence(F.col("length") - slack, F.col("length"))).alias("length")).join(each, ["source", "length"])
+    weighed = reached.select("source", F.col("length").alias(measure), F.ln(F.col("texts") / F.col("below")).alias("weight"))
     return weighed.where("weight > 0").groupBy("source", measure).agg(F.max("weight").alias("weight"))
 
 
 KINDS = ("cut", "stop", "text")
 
 
-def _counted(samples: DataFrame, keys: list[str]) -> DataFrame:
-    return samples.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS))
+def _logs(counts: DataFrame, keys: list[str], within: list[str], into: str) -> DataFrame:
+    """(keys, into: struct): logarithm of the frequency of ``keys`` among samples of each kind that are equal in ``within``.
 
+    ``counts`` has keys and the number of samples of each kind. Where samples are few, the
+    frequency is drawn to that of all kinds together, which then tells nothing.
+    """
+    of_key = counts.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in KINDS))
+    totals = of_key.groupBy(*within).agg(*(F.sum(k).alias(f"_t{k}") for k in KINDS))
+    joined = of_key.join(totals, within)
+    share = sum(F.col(k) for k in KINDS) / sum(F.col(f"_t{k}") for k in KINDS) * WEIGHT
+    return joined.select(*keys, F.struct(*(F.ln((F.col(k) + share) / (F.col(f"_t{k}") + WEIGHT)).alias(k) for k in KINDS)).alias(into))
+
+
+def _plain(counts: DataFrame, keys: list[str], totals: dict[str, float], into: str) -> DataFrame:
+    """(keys, into: struct): logarithm of the frequency of ``keys`` among all samples of each kind, half a sample added to each."""
+    of_key = counts.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in KINDS))
+    return of_key.select(*keys, F.struct(*(F.ln((F.col(k) + 0.5) / (totals[k] + 1)).alias(k) for k in KINDS)).alias(into))
+
+
+def _word_logs(counts: DataFrame) -> DataFrame:
+    """(_line, _word, _known: struct): logarithm of the frequency of each state of the last word among samples that end in a word and such a line.
+
+    Lines are complete in whole texts as in those cut between lines, so both are counted together.
+    """
+    of_key = counts.where("_word <> 'none'").groupBy("_line", "_word").agg(F.sum("cut").alias("c"), (F.sum("stop") + F.sum("text")).alias("b"))
+    joined = of_key.join(of_key.groupBy("_line").agg(F.sum("c").alias("tc"), F.sum("b").alias("tb")), "_line")
+    cut, both = (F.ln((F.col(n) + 0.5) / (F.col(f"t{n}") + 1)) for n in ("c", "b"))
+    return joined.select("_line", "_word", F.struct(cut.alias("cut"), both.alias("stop"), both.alias("text")).alias("_known"))
 
-def _frequencies(samples: DataFrame, keys: list[str], totals: dict[str, int], into: str) -> DataFrame:
-    """(keys, into: struct of the logarithms of the keys' frequency among samples of each kind), half a text added to each."""
-    return _counted(samples, keys).select(*keys, F.struct(*(F.ln((F.col(f"_{k}") + 0.5) / (totals[k] + 1)).alias(k) for k in KINDS)).alias(into))
 
+def _shares(scores: DataFrame, rounds: int = 50) -> dict[str, float]:
+    """Shares of texts cut within and between lines, by expectation maximisation over the histogram of their odds (at most 121 * 121 rows); ``scores`` has cut, stop and n."""
+    near = lambda c: (F.round(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(c))) * 2) / 2).alias(c)
+    rows = scores.groupBy(near("cut"), near("stop")).agg(F.sum("n").alias("n")).collect()
+    total, shares = sum(r["n"] for r in rows), {"cut": 0.03, "stop": 0.01}
+    for _ in range(rounds if total else 0):
+        found = dict.fromkeys(shares, 0.0)
+        for r in rows:
+            odds = {k: v * math.exp(r[k]) for k, v in shares.items()}
+            whole = sum(odds.values()) + 1 - sum(shares.values())
+            for k in found:
+                found[k] += r["n"] * odds[k] / whole
+        shares = {k: min(0.25, max(v / total, 0.5 / (total + 1))) for k, v in found.items()}
+    return shares
 
-def _form_frequencies(samples: DataFrame) -> DataFrame:
-    """(form, last, _form): as ``_frequencies``, of a form among those with its last token; where texts are few all kinds are taken together."""
-    of_form = _counted(samples, ["form", "last"])
-    of_last = of_form.groupBy("last").agg(*(F.sum(f"_{k}").alias(f"_l{k}") for k in KINDS))
-    share = sum(F.col(f"_{k}") for k in KINDS) / sum(F.col(f"_l{k}") for k in KINDS) * WEIGHT
-    return of_form.join(of_last, "last").select("form", "last", F.struct(*(F.ln((F.col(f"_{k}") + share) / (F.col(f"_l{k}") + WEIGHT)).alias(k) for k in KINDS)).alias("_form"))
 
+ENDS = ["_word", "_line", "open", "form", "last"]
 
-def _prior(scores: DataFrame, rounds: int = 50) -> float:
-    """Logarithm of the odds that a text is cut, by expectation maximisation over the scores' histogram (at most 601 rows)."""
-    rows = scores.groupBy(F.round(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("score"))), 1).alias("s")).agg(F.count("*").alias("n")).collect()
-    total, share = sum(r["n"] for r in rows), 0.05
-    if not total:
-        return 0.0
-    for _ in range(rounds):
-        odds = share / (1 - share)
-        share = sum(r["n"] / (1 + math.exp(-r["s"]) / odds) for r in rows) / total
-        share = min(0.5, max(share, 0.5 / (total + 1)))
-    return math.log(share / (1 - share))
+
+def _score(forms: DataFrame, counts: DataFrame, held: dict[str, int], ended: float, spoiled: float) -> DataFrame:
+    """``forms`` (ENDS, line_end, n) with cut and stop, the logarithms of how much likelier such an end is for texts cut within and between lines, and ending, whether its last line says so.
+
+    ``counts`` has the samples of each kind by ENDS, ``held`` their numbers; ``spoiled`` is
+    the expected number of cut texts among the whole ones.
+    """
+    totals = {"cut": held["cut"], "stop": held["stop"], "text": max(0.0, held["text"] - spoiled)}
+    if not totals["cut"] or not totals["text"]:
+        return forms.withColumns({"cut": F.lit(0.0), "stop": F.lit(0.0), "ending": F.lit(False)})
+    counts = counts.withColumn("text", F.greatest(F.lit(0.0), F.col("text") - F.col("stop") * (spoiled / max(1, held["stop"]))))
+    forms, counts = (x.withColumn("_bare", F.col("_word") == "none") for x in (forms, counts))
+    parts = [(_plain(counts, ["_line", "_bare"], totals, "_trie"), ["_line", "_bare"], 0.5), (_word_logs(counts), ["_line", "_word"], None), (_plain(counts, ["last"], totals, "_last"), ["last"], 0.5)]
+    parts += [(_logs(counts, ["last", "open"], ["last"], "_open"), ["last", "open"], None), (_logs(counts, ["last", "open", "form"], ["last", "open"], "_form"), ["last", "open", "form"], None)]
+    for part, keys, missing in parts:
+        name = part.columns[-1]
+        none = F.struct(*(F.lit(math.log(missing / (totals[k] + 1)) if missing else 0.0).alias(k) for k in KINDS))
+        forms = forms.join(part, keys, "left").withColumn(name, F.coalesce(name, none))
+    # a line end follows whole texts as often as all texts, no cut within a line, and half of those between lines
+    follows = {"text": ended, "cut": 0.5 / (totals["cut"] + 1), "stop": 0.5}
+    line = {k: F.col(f"_last.{k}") + F.col(f"_open.{k}") + F.col(f"_form.{k}") for k in KINDS}
+    chance = {k: line[k] + F.col(f"_trie.{k}") + F.col(f"_known.{k}") + F.when(F.col("line_end"), math.log(follows[k])).otherwise(math.log(1 - follows[k])) for k in KINDS}
+    ending = F.greatest(line["cut"], line["stop"]) > line["text"]
+    return forms.select(*ENDS, "line_end", "n", *((chance[k] - chance["text"]).alias(k) for k in ("cut", "stop")), ending.alias("ending"))
 
 
 def find_truncated(documents: DataFrame, least_pile: int = 3) -> DataFrame:
@@ -220,10 +264,10 @@ def find_truncated(documents: DataFrame, least_pile: int = 3) -> DataFrame:
     text is cut. signs tells what speaks for it: word and line (the last one is an unknown
     proper prefix in its trie), length (a limit of its source, see ``_limits``), ending (the
     form of the last line is that of cut texts), broken (half a character at the end, which
-    decides alone), copy (an equal text is cut). An equal text has the same end, so all
-    copies are judged by the greatest length evidence among them. Sources are cleaned; texts without source are a
-    source of their own. Words and lines of one text only are not in the tries. Repeated rows
-    each get their row; an empty table gives an empty result.
+    decides alone), copy (an equal text has the length). Copies have the same end, so all are
+    judged by the greatest length evidence among them. Sources are cleaned; texts without
+    source are a source of their own. Words and lines of one text only are not in the tries.
+    Repeated rows each get their row; an empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession, "truncation")
     kind = dict(documents.dtypes)["doc_id"]
@@ -231,65 +275,60 @@ def find_truncated(documents: DataFrame, least_pile: int = 3) -> DataFrame:
     every = scratch.save(source.mapInArrow(_features, FEATURES.format(kind=kind)))
     ends = every.where("kind not in ('word', 'line')").drop("token", "node", "complete", "low", "high")
     several = F.min("low") < F.max("high")  # held by two different texts at least
+    words = ends.where("word is not null").groupBy("word").agg(F.count("*").alias("_n"))
     vocabulary = scratch.save(every.where("kind = 'word'").groupBy(F.col("token").alias("word")).agg(several.alias("known")).where("known").select("word"))
-    asked = ends.where("word is not null").select(F.col("word").alias("prefix")).distinct()
-    unknown = scratch.save(asked.join(vocabulary.select(F.col("word").alias("prefix")), "prefix", "left_anti"))
-    beginnings = vocabulary_trie(vocabulary, unknown).select("prefix", F.lit(True).alias("_begins"))
-    strange = unknown.join(beginnings, "prefix", "left").select(F.col("prefix").alias("word"), F.when(F.col("_begins"), "prefix").otherwise("other").alias("_word"))
-    nodes = every.where("kind = 'line'").join(ends.select(F.col("line").alias("node")).distinct(), "node", "left_semi")
-    nodes = nodes.groupBy("node", "complete").agg(several.alias("known")).where("known").groupBy("node").agg(F.max("complete").alias("_whole"))
-    lines = nodes.select(F.col("node").alias("line"), F.when(F.col("_whole"), "known").otherwise("prefix").alias("_line"))
-
-    of_word = strange.join(ends.where("word is not null").groupBy("word").agg(F.count("*").alias("_n")), "word")
-    of_line = lines.join(ends.groupBy("line").agg(F.count("*").alias("_n")), "line")
-    # a text's last word is known unless it is in ``strange``, and its last line neither unless it is in ``lines``
-    told = _left(_left(ends, of_word, "word", F.col("word").isNull(), scratch), of_line, "line", F.lit(False), scratch)
+    unknown = scratch.save(words.join(vocabulary, "word", "left_anti"))
+    beginnings = vocabulary_trie(vocabulary, unknown.select(F.col("word").alias("prefix"))).select(F.col("prefix").alias("word"), F.lit(True).alias("_begins"))
+    strange = unknown.join(beginnings, "word", "left").select("word", "_n", F.when(F.col("_begins"), "prefix").otherwise("other").alias("_word"))
+    asked = ends.groupBy(F.col("line").alias("node")).agg(F.count("*").alias("_n"))
+    nodes = every.where("kind = 'line'").join(asked.select("node"), "node", "left_semi").groupBy("node", "complete").agg(several.alias("known")).where("known")
+    lines = nodes.groupBy("node").agg(F.max("complete").alias("_whole")).join(asked, "node").select(F.col("node").alias("line"), F.when(F.col("_whole"), "known").otherwise("prefix").alias("_line"), "_n")
+    # a last word is known unless it is in ``strange``; a last line is neither known nor a prefix unless it is in ``lines``
+    frequent = words.where(F.col("_n") * HOT_KEYS > ends.agg(F.count("*")).scalar()).join(strange.select("word"), "word", "left_anti").select("word", "_n", F.lit("known").alias("_word"))
+    told = join_margins(ends, strange.unionByName(frequent), "word", "_n", "left").drop("_n")
+    told = join_margins(told, lines, "line", "_n", "left").drop("_n")
     told = told.withColumns({"_word": F.when(F.col("word").isNull(), "none").otherwise(F.coalesce("_word", F.lit("known"))), "_line": F.coalesce("_line", F.lit("other"))})
-    told = scratch.save(told.drop("word", "line"))
-    once = told.where("kind = 'text'").withColumn("source", F.coalesce("source", F.lit(""))).dropDuplicates(["source", "whole_text"])
-    samples = scratch.save(told.where("kind <> 'text' or line_end").dropDuplicates(["kind", "whole_text"]))
-    held = {r["kind"]: r["n"] for r in samples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    totals = {k: held.get(k, 0) for k in KINDS}
-    by_trie, by_last = (scratch.save(_frequencies(samples, keys, totals, into)) for keys, into in ((["_word", "_line", "open"], "_trie"), (["last"], "_last")))
-    by_form = scratch.save(_form_frequencies(samples))
-    texts = told.where("kind = 'text'").withColumn("_source", F.coalesce("source", F.lit("")))
-    # a line end follows whole texts as often as all texts, no cut within a line, and half of those between lines
-    ended = told.where("kind = 'text'").dropDuplicates(["whole_text"]).agg(F.count_if("line_end").alias("e"), F.count("*").alias("n")).first()
-    follows = {"text": (ended["e"] + 0.5) / (ended["n"] + 1), "cut": 0.5 / (totals["cut"] + 1), "stop": 0.5}
-    edges = (held.get("edge", 0) + 0.5) / (held.get("edge", 0) + totals["cut"] + 1)
-    weight = {"text": 0.0, "cut": math.log(1 - edges), "stop": math.log(edges)}
-    limits = [(m, _limits(once, m, slack, least_pile).select(F.col("source").alias("_source"), m, F.col("weight").alias(f"_by_{m}"))) for m, slack in (("chars", 0), ("bytes", 3))]
-    judged = texts
-    for measure, limit in limits:
-        judged = judged.join(F.broadcast(limit), ["_source", measure], "left") if limit.count() < 100_000 else judged.join(limit, ["_source", measure], "left")
-    judged = judged.join(by_trie, ["_word", "_line", "open"], "left").join(by_last, "last", "left").join(by_form, ["form", "last"], "left")
-    rare = F.struct(*(F.lit(math.log(0.5 / (totals[k] + 1))).alias(k) for k in KINDS))
-    same = F.struct(*(F.lit(0.0).alias(k) for k in KINDS))
-    judged = judged.withColumns({"_trie": F.coalesce("_trie", rare), "_last": F.coalesce("_last", rare), "_form": F.coalesce("_form", same)})
-    chance = {k: F.col(f"_trie.{k}") + F.col(f"_last.{k}") + F.col(f"_form.{k}") + F.when(F.col("line_end"), math.log(follows[k])).otherwise(math.log(1 - follows[k])) + weight[k] for k in KINDS}
-    most = F.greatest(chance["cut"], chance["stop"])
-    either = most + F.log1p(F.exp(F.least(chance["cut"], chance["stop"]) - most))
+    told = scratch.save(told.drop("word", "line").withColumn("_source", F.coalesce("source", F.lit(""))))
+    texts = told.where("kind = 'text'")
+
+    samples = told.where("kind <> 'text' or line_end").dropDuplicates(["kind", "whole_text"])
+    counts = scratch.save(samples.groupBy(*ENDS).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS)))
+    held = {k: v or 0 for k, v in counts.agg(*(F.sum(k).alias(k) for k in KINDS)).first().asDict().items()}
+    different = scratch.save(texts.dropDuplicates(["whole_text"]).groupBy(*ENDS, "line_end").agg(F.count("*").alias("n")))
+    number = different.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("line_end"), F.col("n")).otherwise(0)).alias("e")).first()
+    ended = ((number["e"] or 0) + 0.5) / ((number["n"] or 0) + 1)
+    spoiled = 0.0
+    for _ in range(3):
+        scored = scratch.save(_score(different, counts, held, ended, spoiled))
+        shares = _shares(scored)
+        spoiled = shares["stop"] * (number["n"] or 0) / 2  # half of them end in a line end
+    share = sum(shares.values())
+    prior = math.log(share / (1 - share))
+    cut, stop = (F.col(k) + math.log(v / share) for k, v in shares.items())
+    most = F.greatest(cut, stop)
+    scored = scored.withColumn("own", most + F.log1p(F.exp(F.least(cut, stop) - most)))
+
+    key = F.xxhash64(*ENDS, "line_end")
+    of_end = scored.withColumn("_end", key).groupBy("_end").agg(F.max("own").alias("own"), F.max("ending").alias("ending"))
+    rows = texts.groupBy(key.alias("_end")).agg(F.count("*").alias("_n"))
+    judged = join_margins(texts.withColumn("_end", key), of_end.join(rows, "_end"), "_end", "_n").drop("_n")
+    once = scratch.save(texts.select("_source", "chars", "bytes", "whole_text").dropDuplicates(["_source", "whole_text"]))
+    for measure, slack in (("chars", 0), ("bytes", 3)):
+        limit = _limits(once.withColumnRenamed("_source", "source"), measure, slack, least_pile)
+        limit = limit.select(F.struct(F.col("source").alias("_source"), measure).alias("_k"), F.col("weight").alias(f"_by_{measure}"))
+        of_limit = texts.groupBy(F.struct("_source", measure).alias("_k")).agg(F.count("*").alias("_n"))
+        judged = join_margins(judged.withColumn("_k", F.struct("_source", measure)), of_limit.join(limit, "_k"), "_k", "_n", "left").drop("_k", "_n")
     length = F.greatest(F.coalesce("_by_chars", F.lit(0.0)), F.coalesce("_by_bytes", F.lit(0.0)))
-    form = F.greatest(F.col("_last.cut") + F.col("_form.cut"), F.col("_last.stop") + F.col("_form.stop")) > F.col("_last.text") + F.col("_form.text")
-    own = (either - chance["text"]) if totals["cut"] else F.lit(0.0)
-    judged = scratch.save(judged.select("doc_id", "source", "whole_text", "broken", "open", "_word", "_line", length.alias("_length"), form.alias("_ending"), own.alias("_own")))
-    of_text = scratch.save(judged.groupBy("whole_text").agg(F.max("_length").alias("_best"), F.max("_own").alias("_o"), F.count("*").alias("_n")))
-    prior = _prior(of_text.select((F.col("_o") + F.col("_best")).alias("score")))
-    scored = join_margins(judged, of_text.drop("_o"), "whole_text", "_n").withColumn("score", F.col("_own") + F.greatest(F.lit(prior), F.when(F.col("_best") > 0, F.col("_best"))))
+    judged = scratch.save(judged.select("doc_id", "source", "whole_text", "broken", "_word", "_line", "own", "ending", length.alias("_length")))
+    best = judged.groupBy("whole_text").agg(F.max("_length").alias("_best"), F.count("*").alias("_n")).where("_best > 0")
+    judged = join_margins(judged, best, "whole_text", "_n", "left").withColumn("_best", F.coalesce("_best", F.lit(0.0)))
+    judged = judged.withColumn("score", F.col("own") + F.greatest(F.lit(prior), F.when(F.col("_best") > 0, F.col("_best"))))
     truncated = F.col("broken") | (F.col("score") > 0)
     signs = F.array_compact(F.array(
         F.when(F.col("_word") == "prefix", "word"), F.when(F.col("_line") == "prefix", "line"), F.when(F.col("_length") > 0, "length"),
-        F.when(F.col("_ending"), "ending"), F.when(F.col("broken"), "broken"), F.when((F.col("_best") > 0) & (F.col("_length") == 0), "copy"),
+        F.when(F.col("ending"), "ending"), F.when(F.col("broken"), "broken"), F.when((F.col("_best") > 0) & (F.col("_length") == 0), "copy"),
     ))
-    return scored.select("doc_id", "source", F.when(truncated, signs).otherwise(F.array().cast("array<string>")).alias("signs"), F.round("score", 3).alias("score"), truncated.alias("truncated"))
-
-
-def _left(rows: DataFrame, margins: DataFrame, key: str, without: Column, scratch: Scratch) -> DataFrame:
-    """Left join with ``margins`` (_n: rows of the key); keys that hold many rows are broadcast, and rows ``without`` a key are passed by."""
-    margins = scratch.save(margins)
-    joined = join_margins(rows.where(~without), margins, key, "_n").drop("_n")
-    rest = rows.where(~without).join(margins.select(key), key, "left_anti").unionByName(rows.where(without))
-    return joined.unionByName(rest, allowMissingColumns=True)
+    return judged.select("doc_id", "source", F.when(truncated, signs).otherwise(F.array().cast("array<string>")).alias("signs"), F.round("score", 3).alias("score"), truncated.alias("truncated"))
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:
