@@ -13,7 +13,7 @@ from spectralmill.llm.graph_search import search_labels
 from spectralmill.llm.leaks import find_leaks
 from spectralmill.llm.mixing import mix_sources
 from spectralmill.llm.neighbours import group_copies, nearest_labels, neighbour_graph
-from spectralmill.llm.term_counts import mark_terms, ngram_counts
+from spectralmill.llm.term_counts import mark_terms, ngram_counts, suffixes_of
 from spectralmill.llm.truncation import find_truncated, truncation_by_source
 from spectralmill.operators.counts import accumulate_spectra
 from spectralmill.operators.vectors import latest_vectors
@@ -37,9 +37,12 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers whose residual is at least that of one with 4 % of its label; the share itself is checked exactly afterwards."""
     scored = distinctive_terms(_cells(spark, sf_dir), "label", "kmer", "count")
-    strong = "weight * 25 >= record_total and holders >= 2 and holders * 50 <= records"
-    return scored.where(strong).select(F.col("record").alias("label"), F.col("term").alias("kmer"))
+    # the residual of a share of 4 %, less a little for rounding, so that the exact check decides
+    least = (F.col("record_total") / 25 - F.col("expected")) / F.sqrt("expected")
+    distinctive = scored.where(F.col("residual") >= least - 1e-9 * (F.abs(least) + F.sqrt("expected") + 1))
+    return distinctive.where("weight * 25 >= record_total and holders >= 2 and holders * 50 <= records").select(F.col("record").alias("label"), F.col("term").alias("kmer"))
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +101,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).where("mark <> 'useful'").select("kmer", "mark")
 
 
+def p5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of one to three words of the documents, with its count and the number of documents that have it."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1), F.lower)
+    counts = ngram_counts(suffixes_of(_read(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words", 3), 3)
+    return counts.select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("words"), "count", "records")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
@@ -142,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": p3_groups,
         "p5_found": p5_found,
         "p5_terms": p5_terms,
+        "p5_ngrams": p5_ngrams,
         "p6_found": p6_found,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,

@@ -46,6 +46,13 @@ def oracle_sql() -> dict[str, str]:
   SELECT near, count(*) AS members FROM around GROUP BY near
 ) SELECT near[1] AS cluster_label, unnest(near) AS label FROM same WHERE members = len(near) AND members >= 5""",
         "p5_found": f"{MARKED} SELECT kmer, mark FROM marked WHERE mark <> 'useful'",
+        "p5_ngrams": """WITH d AS (SELECT doc_id, lower(w) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws FROM documents))
+), g AS (
+  SELECT doc_id, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), n AS (
+  SELECT doc_id, a AS ngram, 1 AS words FROM g UNION ALL SELECT doc_id, a || ' ' || b, 2 FROM g WHERE b IS NOT NULL UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c, 3 FROM g WHERE c IS NOT NULL
+) SELECT ngram, CAST(words AS INTEGER) AS words, count(*) AS count, count(DISTINCT doc_id) AS records FROM n GROUP BY ngram, words""",
         "p6_found": """WITH item_words AS (SELECT item_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM eval_items),
  doc_words AS (SELECT doc_id AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents),
  item_runs AS (SELECT DISTINCT id AS item_id, lower(array_to_string(w[i : i + 19], ' ')) AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM item_words)),

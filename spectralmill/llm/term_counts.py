@@ -5,8 +5,9 @@ first term. There the suffixes are sorted in reverse lexicographic order, so all
 a prefix are neighbours, and one pass with a stack of open prefixes (one for each length)
 adds up the counts and the sets of records of every prefix at once.
 
-A first term that heads a large share of all suffixes is routed by its record too. The
-record sets of its parts are disjoint, so the parts' counts add up exactly.
+A first term that heads more than ``PART`` suffixes is routed by its record too, in as many
+parts as its exact number of suffixes asks for. The record sets of the parts are disjoint, so
+the parts' counts add up exactly, and no task holds more than about ``PART`` suffixes of a term.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PARTS_OF_HOT_TERM = 64
-HOT_SHARE = 0.01
+from spectralmill.operators.skew import join_margins
+
+PART = 1 << 20
 
 
 def suffixes_of(records: DataFrame, record: str, terms: str, length: int) -> DataFrame:
@@ -120,7 +122,7 @@ def _aggregate(length: int):
     return run
 
 
-def ngram_counts(suffixes: DataFrame, length: int = 1, hot_share: float = HOT_SHARE) -> DataFrame:
+def ngram_counts(suffixes: DataFrame, length: int = 1, part: int = PART) -> DataFrame:
     """(ngram, count, records) of every n-gram of 1 to ``length`` terms.
 
     ``suffixes`` has record, suffix (array of at most ``length`` terms, longer ones are cut)
@@ -133,12 +135,11 @@ def ngram_counts(suffixes: DataFrame, length: int = 1, hot_share: float = HOT_SH
         F.slice(F.col("suffix"), 1, length).alias("suffix"),
         F.coalesce(F.col("weight").cast("long"), F.lit(0)).alias("weight"),
     ).where(F.col("record").isNotNull() & (F.size("suffix") > 0))
-    first = F.col("suffix")[0]
-    # Misra-Gries: holds every term above the share, and at most 1 / share terms
-    found = rows.select(first.alias("term")).freqItems(["term"], hot_share).first()
-    hot = [t for t in (found[0] if found else []) if t is not None]
-    part = F.when(first.isin(hot), F.pmod("record_id", F.lit(PARTS_OF_HOT_TERM))).otherwise(0) if hot else F.lit(0)
-    routed = rows.withColumn("_part", part).withColumn("_first", first).repartition("_first", "_part").sortWithinPartitions("_part", F.col("suffix").desc())
+    rows = rows.withColumn("_first", F.col("suffix")[0])
+    heads = rows.groupBy("_first").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
+    split = join_margins(rows, heads, "_first", "_n", "left")
+    split = split.withColumn("_part", F.when(F.col("_n").isNotNull(), F.pmod("record_id", F.ceil(F.col("_n") / part))).otherwise(0))
+    routed = split.repartition("_first", "_part").sortWithinPartitions("_part", F.col("suffix").desc())
     partial = routed.select("record_id", "suffix", "weight").mapInArrow(_aggregate(length), "ngram array<string>, count bigint, records bigint")
     return partial.groupBy("ngram").agg(F.sum("count").alias("count"), F.sum("records").alias("records"))
 

@@ -81,10 +81,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, n + 1 bounds of the words of each text)."""
+    _, hashes, _, bounds = located_words(texts)
+    return hashes, bounds
+
+
+def located_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, hashes, first byte of each word, n + 1 bounds of the words of each text)."""
     data, bounds = text_bytes(texts)
     breaks = np.unique(bounds[:-1])
     hashes, starts = word_hashes(data, breaks[breaks < len(data)])
-    return hashes, np.searchsorted(starts, bounds)
+    return data, hashes, starts, np.searchsorted(starts, bounds)
 
 
 def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:

@@ -28,6 +28,8 @@ def test_ngrams(frame, length):
     records += [("n", None), ("e", []), ("z", ["a", None, "b"]), ("r1", ["a"] * 400)]
     got = ngram_counts(suffixes_of(frame([(n, t, 1) for n, t in records], RECORDS), "record", "terms", length), length)
     assert {tuple(r.ngram): (r["count"], r.records) for r in got.collect()} == brute(records, length)
+    split = ngram_counts(suffixes_of(frame([(n, t, 1) for n, t in records], RECORDS), "record", "terms", length), length, part=20)
+    assert {tuple(r.ngram): (r["count"], r.records) for r in split.collect()} == brute(records, length)
 
 
 def test_ngrams_empty(frame):

@@ -41,6 +41,19 @@ def test_shift_table_skips():
     assert index.shift.max() == 15 and (index.shift == 0).sum() == 21
 
 
+def test_hash_clashes_are_no_leaks(monkeypatch):
+    """Passages whose words have equal hashes are told apart by their letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    from spectralmill.llm import words
+
+    monkeypatch.setattr(words, "_VALUE", np.where(words._IS_WORD, np.uint64(1), np.uint64(0)))  # hashes tell only lengths
+    index = PassageIndex([7], ["aa bb cc dd ee"], 3)
+    text, item = index.search(pa.array(["xx yy zz xx", "q AA, BB cc", "cc dd ee", None]))
+    assert list(text) == [1, 2] and list(item) == [0, 0]
+
+
 def test_words(spark):
     import pyarrow as pa
 

@@ -137,3 +137,23 @@ def test_touching_members_of_hot_cells(frame, spark, monkeypatch):
     members = frame([(f"l{i:03d}", f"c{comp[i]:03d}", x[i].tolist()) for i in range(400)], "label string, comp string, coords array<double>")
     got = clusters._touching(members, 1.0, 16 / 3, 6, 4, Scratch(spark, "touching"))
     assert {tuple(sorted(r)) for r in got.collect()} == want
+
+
+def test_groups_that_touch_away_from_their_pivots(frame):
+    """Pairs of groups of which only two far members are within reach: none is a cluster."""
+    rng = np.random.default_rng(1)
+    x = {}
+    for g in range(12):
+        center, u = rng.normal(size=32) * 20, rng.normal(size=32)
+        u /= np.linalg.norm(u)
+        for h, s in ((0, -1), (1, 1)):
+            for i in range(40):
+                v = rng.normal(size=32)
+                v -= v @ u * u
+                v *= 0.4 * rng.random() / np.linalg.norm(v)
+                x[f"p{g:02d}{h}{i:02d}"] = (center + u * s * 1.3 + v).tolist()
+            x[f"p{g:02d}{h}99"] = (center + u * s * 0.70).tolist()
+    m = np.array([x[n] for n in sorted(x)])
+    assert (np.linalg.norm(m[:82, None] - m[None, :82], axis=2)[:41, 41:] <= 1.5).sum() == 1
+    result = similar_groups(frame(list(x.items()), VEC), 1.5, 32)
+    assert result.where("mutual").count() == 0 and result.select("comp").distinct().count() == 12
