@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from spectralmill.errors import IncompatibleGeometries, InvalidKeepAtMost
 from spectralmill.functions.space import Distance
+from spectralmill.operators.blocks import number_rows, pair_sums, power_of_gap, product
+from spectralmill.operators.skew import join_margins
+from spectralmill.scratch import Scratch
 
 BLOCK_BYTES = 32 << 20  # of a block of column vectors that goes to the executors
 FUSED_BYTES = 256 << 20  # of all column vectors together, for a summary in one pass
@@ -185,29 +188,28 @@ def spectral_distances(cells: DataFrame, first: DataFrame, second: DataFrame, di
     """(row_label, col_label, distance) of spectra: rows are the second selection, columns the first.
 
     Counts are divided by their spectrum's sum and, with ``normalise``, by the spectrum's norm
-    after that. For exponent 2 only shared k-mers are joined, since |a - b|^2 = |a|^2 +
-    |b|^2 - 2ab; otherwise the difference from the sum of both spectra's own terms is summed
-    over shared k-mers, so zeros never materialise either way.
+    after that. Pairs of spectra are summed by dense blocks (see ``blocks``): products for
+    exponent 2, since |a - b|^2 = |a|^2 + |b|^2 - 2ab, and powers of differences otherwise.
+    Selected labels without counts are left out.
     """
-    from spectralmill.operators.skew import join_margins
-
     p = distance.exponent
+    scratch = Scratch(cells.sparkSession, "spectral")
     sums = cells.groupBy("label").agg(F.sum("count").alias("_sum"), F.count("*").alias("_rows"))
     shares = join_margins(cells, sums, "label", "_rows").select("label", "kmer", (F.col("count").cast("double") / F.col("_sum")).alias("x"))
     if normalise:
         norm = distance.scale(F.sum(F.pow("x", F.lit(p))))
         norms = shares.groupBy("label").agg(F.when(norm == 0, 1.0).otherwise(norm).alias("_norm"), F.count("*").alias("_rows"))
         shares = join_margins(shares, norms, "label", "_rows").select("label", "kmer", (F.col("x") / F.col("_norm")).alias("x"))
-    own = shares.groupBy("label").agg(F.sum(F.pow("x", F.lit(p))).alias("t"))
-    cols = shares.join(first.select("label").distinct(), "label", "left_semi").select("kmer", F.col("label").alias("col_label"), F.col("x").alias("xc"))
-    rows = shares.join(second.select("label").distinct(), "label", "left_semi").select("kmer", F.col("label").alias("row_label"), F.col("x").alias("xr"))
-    term = -2 * F.col("xr") * F.col("xc") if p == 2 else F.pow(F.abs(F.col("xr") - F.col("xc")), F.lit(p)) - F.pow("xr", F.lit(p)) - F.pow("xc", F.lit(p))
-    shared = rows.join(cols, "kmer").groupBy("row_label", "col_label").agg(F.sum(term).alias("s"))
-    left = own.join(second.select("label").distinct(), "label").select(F.col("label").alias("row_label"), F.col("t").alias("tr"))
-    right = own.join(first.select("label").distinct(), "label").select(F.col("label").alias("col_label"), F.col("t").alias("tc"))
+    shares = scratch.save(shares)
+    own = scratch.save(shares.groupBy("label").agg(F.sum(F.pow("x", F.lit(p))).alias("t")))
+    known = own.select("label")
+    rows, cols = (number_rows(x.select("label").distinct().join(known, "label", "left_semi")) for x in (second, first))
+    left = rows.join(own, "label").select(F.col("at").alias("i"), F.col("label").alias("row_label"), F.col("t").alias("tr"))
+    right = cols.join(own, "label").select(F.col("at").alias("j"), F.col("label").alias("col_label"), F.col("t").alias("tc"))
     every = left.join(right, F.lit(True))  # the matrix that was asked for: one row for each pair
-    total = F.greatest(F.lit(0.0), F.col("tr") + F.col("tc") + F.coalesce("s", F.lit(0.0)))
-    return every.join(shared, ["row_label", "col_label"], "left").select("row_label", "col_label", distance.scale(F.when(F.col("row_label") == F.col("col_label"), 0.0).otherwise(total)).alias("distance"))
+    sums = pair_sums(shares, rows, cols, product if p == 2 else power_of_gap(p))
+    total = F.col("tr") + F.col("tc") - 2 * F.coalesce("s", F.lit(0.0)) if p == 2 else F.coalesce("s", F.lit(0.0))
+    return every.join(sums, ["i", "j"], "left").select("row_label", "col_label", distance.scale(F.when(F.col("row_label") == F.col("col_label"), 0.0).otherwise(F.greatest(F.lit(0.0), total))).alias("distance"))
 
 
 def band_pairs(points: DataFrame, delta: float, key: str = "idx", coordinate: str = "x") -> DataFrame:

@@ -96,27 +96,27 @@ def test_distill_against_dense(frame):
 
 
 def test_distill_forms_no_pairs(frame, spark):
-    """A k-mer of all spectra is summed without its pairs, and agrees with them."""
+    """A k-mer of all spectra is summed without its pairs, and agrees with them; so are k-mers that are cut into chunks."""
     import random
 
     import numpy as np
-    import pyarrow as pa
 
-    from spectralmill.operators.distill import _pair_sums
+    from spectralmill.operators.distill import _gap_sums, _moments
 
     random.seed(5)
-    rows = [(f"c{i % 5}", random.choice([0.1, 0.1, random.random()])) for i in range(300)] + [("e", 0.3)] * 7 + [("f", 0.3)] * 3
-    got = {(r["ga"], r["gb"]): (r["s1"], r["s2"]) for r in _pair_sums(pa.table({"kmer": ["k"] * len(rows), "group": [g for g, _ in rows], "x": [x for _, x in rows]})).to_pylist()}
-    want = {}
-    for i, (g, x) in enumerate(rows):
-        for h, y in rows[i + 1 :]:
-            s = want.setdefault(tuple(sorted((g, h))), [0.0, 0.0])
-            s[0] += abs(x - y)
-            s[1] += (x - y) ** 2
-    assert set(got) == set(want) and got["e", "e"] == got["f", "f"] == got["e", "f"] == (0, 0)
-    assert all(np.allclose(got[k], want[k]) for k in want)
-    # six classes of 6,000 spectra that all hold two k-mers: 36 million pairs, which the plan has no join for
+    group = np.array([i % 5 for i in range(300)] + [5] * 7 + [6] * 3)
+    x = np.array([random.choice([0.1, 0.1, random.random()]) for _ in range(300)] + [0.3] * 10)
+    held, base, whole, _, _ = _moments(group, x, 7)
+    s1 = _gap_sums(group, x, base, held, whole, (np.zeros(7), np.zeros(7)), 7)
+    for a in range(7):
+        for b in range(7):
+            assert s1[a, b] == pytest.approx(np.abs(x[group == a][:, None] - x[group == b][None]).sum())
+    assert s1[5, 5] == s1[6, 6] == s1[5, 6] == 0
+    cells = [(f"s{i}", f"k{k}", random.randint(1, 9)) for i in range(60) for k in range(4) if random.random() < (1, 0.9, 0.5, 0.1)[k]]
+    groups = frame([(f"s{i}", f"c{i % 4}") for i in range(60)], "label string, `group` string")
+    plain, chunked = ({r.kmer: tuple(r)[1:] for r in distill(frame(cells, CELLS), groups, chunk=c).collect()} for c in (1 << 20, 10))
+    assert plain == {k: pytest.approx(v, abs=1e-12) for k, v in chunked.items()} and len(plain) == 4
+    # six classes of 6,000 spectra that all hold two k-mers: 36 million pairs
     cells = spark.range(12_000).selectExpr("concat('s', id div 2) as label", "concat('k', id % 2) as kmer", "1 + id % 7 as count")
     groups = spark.range(6_000).selectExpr("concat('s', id) as label", "concat('c', id % 6) as `group`")
-    table = distill(cells, groups)
-    assert "l1" not in table._jdf.queryExecution().optimizedPlan().toString() and table.count() == 2
+    assert distill(cells, groups).count() == 2
