@@ -34,6 +34,12 @@ def multiply_vector(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return joined.groupBy("row").agg(F.sum(F.col("value") * F.coalesce("_v", F.lit(0.0))).alias("value"))
 
 
+def multiply_sparse_vector(matrix: DataFrame, vector: DataFrame) -> DataFrame:
+    """(row, value) = matrix x vector(col, value) that names its few columns other than 0; rows without any of them are missing."""
+    joined = matrix.join(vector.where("value <> 0").select("col", F.col("value").alias("_v")), "col")
+    return joined.groupBy("row").agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
+
+
 def multiply(one: DataFrame, two: DataFrame) -> DataFrame:
     """(row, col, value) = one x two; the columns of one are the rows of two. Entries without common index are absent (0)."""
     left = one.select(F.col("row").alias("_i"), F.col("col").alias("_k"), F.col("value").alias("_a"))

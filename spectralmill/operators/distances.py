@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectralmill.errors import IncompatibleGeometries, InvalidKeepAtMost
+from spectralmill.errors import IncompatibleGeometries, InvalidKeepAtMost, UnknownDistance
 from spectralmill.functions.space import Distance
 from spectralmill.operators.blocks import number_rows, pair_sums, power_of_gap, product
+from spectralmill.operators.order import place_rows
 from spectralmill.operators.skew import join_margins
 from spectralmill.scratch import Scratch
 
@@ -48,27 +49,33 @@ def vectors_of(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _column_blocks(columns: DataFrame, dims: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    labels, rows, most = [], [], max(1, BLOCK_BYTES // (8 * dims))
-    for r in columns.select("label", F.col("coords").cast("array<double>").alias("coords")).orderBy("label").toLocalIterator():
-        if len(r["coords"]) != dims:
-            raise IncompatibleGeometries(f"expected vectors of {dims} dimensions")
-        labels.append(r["label"])
-        rows.append(r["coords"])
-        if len(labels) >= most:
-            yield labels, np.array(rows, float).reshape(-1, dims)
-            labels, rows = [], []
-    if labels:
-        yield labels, np.array(rows, float).reshape(-1, dims)
-
-
-def cross_distances(rows: DataFrame, columns: DataFrame, metric: list[float], distance: Distance = Distance(), normalise: bool = True) -> DataFrame:
+    """Column vectors in label order, in blocks of at most ``BLOCK_BYTES``, each fetched as Arrow data when it is its turn."""
+    most = max(1, BLOCK_BYTES // (8 * dims))
+    placed = place_rows(columns.select("label", F.col("coords").cast("array<double>").alias("coords")), [], ["label"], "_at")
+    held = Scratch(columns.sparkSession, "columns").save(placed.withColumn("_block", F.floor((F.col("_at") - 1) / most)))
+    for block in range(int((held.agg(F.max("_block")).first()[0] if not held.isEmpty() else -1)) + 1):
+        table = held.where(F.col("_block") == block).orderBy("_at").select("label", "coords").toArrow()
+        yield table.column("label").to_pylist(), vectors_of(table.column("coords").combine_chunks(), dims)
+
+
+def cross_distances(rows: DataFrame, columns: DataFrame, metric: list[float], distance: Distance = Distance(), normalise: bool = True, mismatch: str = "fail") -> DataFrame:
     """(row_label, col_label, distance) of every row vector and every column vector.
 
     Both have label and coords with as many dimensions as the metric. With ``normalise``
     vectors are divided by their norm under the metric, a norm of 0 counting as 1. The
     column vectors go to the executors in blocks of at most ``BLOCK_BYTES``, one pass over
     the rows for each; the rows are never shuffled. Rows with null label or coords are left out.
+    Vectors of another number of dimensions fail, or with ``mismatch`` "infinity" are
+    infinitely far from all others.
     """
+    if mismatch not in ("fail", "infinity"):
+        raise UnknownDistance(f"mismatch {mismatch}")
+    if mismatch == "infinity":
+        fits = F.size("coords") == len(metric)
+        good = cross_distances(rows.where(fits), columns.where(fits), metric, distance, normalise)
+        named = lambda frame, name: frame.where("label is not null and coords is not null").select(F.col("label").alias(name), fits.alias(f"_{name}"))
+        pairs = named(rows, "row_label").join(named(columns, "col_label"), ~F.col("_row_label") | ~F.col("_col_label"))  # the pairs that were asked for
+        return good.unionByName(pairs.select("row_label", "col_label", F.lit(float("inf")).alias("distance")))
     dims, weights = len(metric), np.asarray(metric, float)
     sc = rows.sparkSession.sparkContext
     source = rows.where("label is not null and coords is not null").select("label", F.col("coords").cast("array<double>").alias("coords"))

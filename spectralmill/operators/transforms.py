@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectralmill.errors import InvalidTransformation, UnknownTransformation
+from spectralmill.errors import InvalidTransformation, SpectralMillError, UnknownTransformation
 from spectralmill.operators.skew import join_margins
 from spectralmill.operators.stats import count_statistics
 
@@ -30,6 +31,20 @@ class Transformation:
         if self.which == "pseudocounts" and self.power < 0:
             raise InvalidTransformation(f"pseudocounts with power {self.power}")
 
+    @classmethod
+    def parse(cls, text: str) -> Transformation:
+        """``name`` or ``name(threshold,power)``."""
+        found = re.fullmatch(r"(\w+)(?:\(([^,()]+),([^,()]+)\))?", text)
+        if not found:
+            raise UnknownTransformation(text)
+        try:
+            return cls(found[1], *(float(x) for x in found.groups()[1:] if x is not None))
+        except ValueError as error:
+            raise error if isinstance(error, SpectralMillError) else InvalidTransformation(text) from None
+
+    def __str__(self) -> str:
+        return f"{self.which}({self.threshold:g},{self.power:g})"
+
     def value(self, count: Column, stats: dict[str, Column]) -> Column:
         """The transformed count, given the label's max, sum, sum_log and non_zero."""
         c, p = count.cast("double"), float(self.power)

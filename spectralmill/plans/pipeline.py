@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralmill.errors import InvalidRegisterType, UnexpectedType
+from spectralmill.functions.kmers import hash_hex
 from spectralmill.functions.space import Distance, Metric
 from spectralmill.operators import combine, distances, embeddings, select, splits
 from spectralmill.operators.algebra import merge_rows
 from spectralmill.operators.distill import distill
-from spectralmill.operators.fit import Twister, fit_twister
+from spectralmill.operators.fit import Twister, fit_twister, keep_kmers, sample_kmers, threshold_kmers
 from spectralmill.operators.project import project
-from spectralmill.operators.transforms import Transformation, transform_counts
+from spectralmill.operators.sequences import count_kmers
+from spectralmill.operators.transforms import Transformation, transform_counts, zero_values
 from spectralmill.sources import tables
 
 CELLS = "label string, kmer string, count bigint"
@@ -37,6 +39,11 @@ class CountDatabase:
     distance_normalise: bool = True
     transformation: Transformation = field(default_factory=Transformation)
     zero_kmers: bool = False
+    row_names: bool = True
+    column_names: bool = True
+    with_metadata: bool = False
+    transposed: bool = False
+    precision: int = 15
 
     def __post_init__(self):
         if self.cells is None:
@@ -107,11 +114,12 @@ class CountDatabase:
         return self
 
     def set(self, **options) -> CountDatabase:
-        """criterion, distance, distance_normalise, transformation or zero_kmers."""
+        """Any of ``OPTIONS``; distance and transformation may be given as text."""
+        parse = {"distance": Distance.parse, "transformation": Transformation.parse}
         for name, value in options.items():
-            if name not in ("criterion", "distance", "distance_normalise", "transformation", "zero_kmers"):
+            if name not in OPTIONS:
                 raise InvalidRegisterType(name)
-            setattr(self, name, Distance.parse(value) if name == "distance" and isinstance(value, str) else value)
+            setattr(self, name, parse[name](value) if name in parse and isinstance(value, str) else value)
         return self
 
     def set_transform(self, **parts) -> CountDatabase:
@@ -132,20 +140,51 @@ class CountDatabase:
         return values if self.excluded is None else select.remove_selected(values, self.excluded)
 
     def write_spectra(self, path: str) -> CountDatabase:
-        tables.write_spectra(self.exported(), path)
+        tables.write_spectra(self.exported(), path, self.precision)
         return self
 
-    def write_table(self, path: str, transposed: bool = False) -> CountDatabase:
+    def table_lines(self) -> DataFrame:
+        """(part, name, line) of the dense table with the options that are set; what isn't stored has the transformed value of 0."""
         values = self.exported()
-        axis = [r[0] for r in values.select("kmer" if transposed else "label").distinct().orderBy(F.col("kmer" if transposed else "label")).collect()]
-        tables.write_counts_table(tables.counts_table(values, "value", axis, transposed, axis), path)
+        zeros = zero_values(self.cells, self.transformation) if self.transformation.which == "clr" else None
+        return tables.dense_lines(values, zeros, self.metadata if self.with_metadata else None, self.transposed, self.row_names, self.column_names, self.precision)
+
+    def write_table(self, path: str) -> CountDatabase:
+        tables.write_dense_table(self.table_lines(), path)
         return self
 
-    def summary(self) -> DataFrame:
-        return tables.database_summary(self.cells, self.metadata)
+    def write_distill(self, name: str, path: str) -> CountDatabase:
+        tables.write_distill(self.distill(name), path, self.precision)
+        return self
+
+    def selected(self) -> list[str]:
+        """The labels of the selection in order, for display."""
+        return [r["label"] for r in self.selection.orderBy("label").collect()]
+
+    def summary(self, verbose: bool = False) -> DataFrame:
+        return tables.database_listing(self.cells, self.metadata) if verbose else tables.database_summary(self.cells, self.metadata)
 
-    def fit(self, normalise: bool = True) -> Twister:
-        return fit_twister(self.exported(), normalise)
+    def fit(self, normalise: bool = True, keep: DataFrame | str | None = None, sample: float | None = None, threshold: float | None = None, seed: int = 0) -> Twister:
+        """Twister of the exported counts: only k-mers of ``keep`` (a frame or a file), then a share of them drawn by ``seed``, then those of at least ``threshold`` of the greatest sum."""
+        values = self.exported()
+        if keep is not None:
+            values = keep_kmers(values, tables.read_keep_list(self.spark, keep) if isinstance(keep, str) else keep)
+        if sample is not None:
+            values = sample_kmers(values, sample, seed)
+        if threshold is not None:
+            values = threshold_kmers(values, threshold)
+        return fit_twister(values, normalise)
+
+
+OPTIONS = ("criterion", "distance", "distance_normalise", "transformation", "zero_kmers", "row_names", "column_names", "with_metadata", "transposed", "precision")
+
+
+def count_to_spectra(sequences: DataFrame, path: str, k: int = 12, content: str = "DNA-ds", label: str | None = None, names: str = "hex") -> None:
+    """Spectra text of sequences (tag, seq): one spectrum for each tag, or one named ``label``. DNA k-mers are named by their hexadecimal code unless ``names`` is "letters"; protein ones always by their letters."""
+    cells = count_kmers(sequences, k, content, label)
+    if names == "hex" and content != "protein":
+        cells = cells.withColumn("kmer", hash_hex(F.col("kmer")))
+    tables.write_spectra(cells, path)
 
 
 REGISTERS = ("twister", "twisted", "vectors", "distances", "splits")
@@ -196,6 +235,47 @@ class VectorDatabase:
         setattr(self, name, more if now is None else merge_rows(now, more))
         return self
 
+    def load_table(self, name: str, path: str) -> VectorDatabase:
+        """A register from text tables; for the twister ``path`` is the prefix of its two files."""
+        if self._named(name) == "twister":
+            self.twister, self.inertia = tables.read_twister_text(self.spark, path)
+        elif name in ("twisted", "vectors"):
+            setattr(self, name, tables.read_matrix(self.spark, path))
+        elif name == "distances":
+            names = self.spark.createDataFrame(list(enumerate(tables.read_matrix_names(self.spark, path))), "at int, col_label string")
+            each = tables.read_matrix(self.spark, path).select(F.col("label").alias("row_label"), F.posexplode("coords").alias("at", "distance"))
+            self.distances = each.join(F.broadcast(names), "at").select("row_label", "col_label", "distance")
+        else:
+            raise UnexpectedType(name)
+        return self
+
+    def add_table(self, name: str, path: str) -> VectorDatabase:
+        """Rows of a text table, appended to the register."""
+        if name not in ("twisted", "vectors"):
+            raise UnexpectedType(name)
+        more, now = tables.read_matrix(self.spark, path), getattr(self, name)
+        setattr(self, name, more if now is None else merge_rows(now, more))
+        return self
+
+    def save_table(self, name: str, path: str, precision: int | None = None) -> VectorDatabase:
+        """A register as text tables with 15 digits, splits with 10; "metrics" writes the weights of the dimensions."""
+        if name == "metrics":
+            weights = self.metrics().orderBy("dim").collect()
+            frame = self.spark.createDataFrame([("metrics", [r["weight"] for r in weights])], "label string, coords array<double>")
+            tables.write_matrix(frame, path, [r["name"] for r in weights], precision or 15)
+        elif self._named(name) == "twister":
+            tables.write_twister_text(self._need("twister"), self._need("inertia"), path, precision or 15)
+        elif name == "splits":
+            members = splits.member_ranges(self._need("vectors"), self._need("splits")) if "members" not in self._need("splits").columns else None
+            tables.write_splits(self.splits, path, members, precision or 10)
+        elif name == "distances":
+            rows, columns = tables.dense_rows(self._need("distances").select(F.col("col_label").alias("label"), F.col("row_label").alias("kmer"), F.col("distance").alias("value")))
+            tables.write_matrix(rows.select(F.col("name").alias("label"), F.col("cells").alias("coords")), path, [r["name"] for r in columns.orderBy("at").collect()], precision or 15)
+        else:
+            dims = self._need(name).select(F.max(F.size("coords"))).first()[0] or 0
+            tables.write_matrix(self._need(name), path, [f"Dim{i + 1}" for i in range(dims)], precision or 15)
+        return self
+
     def save(self, name: str, path: str) -> VectorDatabase:
         if self._named(name) == "twister":
             tables.write_twister(self.twister, self.inertia, path)

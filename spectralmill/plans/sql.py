@@ -125,6 +125,10 @@ FITTED = f"""{BY_CLASS}, whole AS (SELECT CAST(sum(count) AS DOUBLE) AS n FROM c
 ), masses AS (SELECT label, sum(count) / any_value(n) AS c FROM combined, whole GROUP BY label
 ), held AS (SELECT kmer, sum(count) / any_value(n) AS r FROM combined, whole GROUP BY kmer)"""
 
+COMBINED_HOSTS = COMBINED.format(group="host", source="meta").replace(", norms AS", ", hnorms AS").replace("norms USING", "hnorms USING").replace("JOIN hhnorms", "JOIN hnorms")
+for _old, _new in (("grouped", "hgrouped"), ("tops", "htops"), ("scaled", "hscaled"), ("combined AS", "hosts AS")):
+    COMBINED_HOSTS = COMBINED_HOSTS.replace(_old, _new)
+
 LONG = "SELECT label, unnest(coords) AS x, CAST(generate_subscripts(coords, 1) AS INTEGER) AS dim"
 
 
@@ -134,7 +138,7 @@ def _kmers(k: int, letters: bool, content: str, one: bool = False) -> str:
     bad = "X" if content == "protein" else "N"
     name = "least(k, reverse(translate(k, 'ACGT', 'TGCA')))" if content == "ds" else "k"
     return f"""SELECT {"'all'" if one else "lang"} AS label, {name} AS kmer, count(*) AS count FROM (
-  SELECT lang, substr(s, CAST(i AS INTEGER), {k}) AS k FROM (SELECT lang, s, unnest(range(1, length(s) - {k - 2})) AS i FROM (SELECT lang, {lint.format(seq)} AS s FROM documents WHERE lang IS NOT NULL))
+  SELECT lang, substr(s, CAST(i AS INTEGER), {k}) AS k FROM (SELECT lang, s, unnest(range(1, length(s) - {k - 2})) AS i FROM (SELECT lang, {lint.format(seq)} AS s FROM documents))
 ) WHERE NOT contains(k, '{bad}') GROUP BY ALL"""
 
 
@@ -166,6 +170,40 @@ GAPS = f"""places AS (SELECT dim, x, label, row_number() OVER (PARTITION BY dim
 ), gaps AS (SELECT dim, next - x AS gap, position, row_number() OVER (ORDER BY next - x DESC, dim, position) AS split_id FROM places WHERE next IS NOT NULL)"""
 
 
+TWISTER_KMERS = f"""base AS (SELECT upper(trim(kmer, {BLANKS})) AS k, weights FROM twister WHERE kmer IS NOT NULL AND weights IS NOT NULL
+), tw AS (SELECT least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, max(weights) AS weights FROM base GROUP BY ALL)"""
+
+
+def _projected() -> str:
+    return f"""WITH {CELLS}, {TWISTER_KMERS}, j AS (SELECT label, count, unnest(weights) AS w, CAST(generate_subscripts(weights, 1) AS INTEGER) AS dim FROM cells JOIN tw USING (kmer))
+SELECT label, dim, round(sum(count * w) / sum(count) + {NUDGE}, 6) AS value FROM j GROUP BY label, dim"""
+
+
+def _vectors_long() -> str:
+    return f"WITH {VECTORS}, l AS ({LONG} FROM latest) SELECT label, dim, round(x + {NUDGE}, 6) AS value FROM l"
+
+
+def _twister_sums() -> str:
+    return f"WITH {TWISTER_KMERS}, j AS (SELECT kmer, unnest(weights) AS w, generate_subscripts(weights, 1) AS dim FROM tw) SELECT kmer, round(sum(w * value) + {NUDGE}, 6) AS value FROM j JOIN inertia USING (dim) GROUP BY kmer"
+
+
+def _flat_texts(segments: str) -> str:
+    return rf"WITH flat AS (SELECT CAST(doc_id AS VARCHAR) AS tag, regexp_replace(text, '[ >\t\n\r\f\v]', '', 'g') AS seq FROM documents) SELECT tag, segm, CAST(length(seq) AS INTEGER) AS letters FROM flat, ({segments}) v(segm) WHERE seq <> ''"
+
+
+def _host_clr() -> str:
+    """Dense values of the hosts' spectra: place is the label's among them, from 0."""
+    return f"WITH {CELLS}, {META}" + COMBINED.format(group="host", source="meta") + """, stats AS (SELECT label, count(*) AS nz, sum(ln(count)) AS sl FROM combined GROUP BY label
+), l AS (SELECT *, row_number() OVER (ORDER BY label) - 1 AS place FROM stats
+), dense AS (SELECT kmer, label, place, coalesce(count, 0) AS count, ln(greatest(CAST(coalesce(count, 0) AS DOUBLE), CAST(0.1 AS DOUBLE))) - sl / nz AS value FROM (SELECT DISTINCT kmer FROM combined) CROSS JOIN l LEFT JOIN combined USING (kmer, label))"""
+
+
+def _shares() -> str:
+    return f"""{BY_CLASS}, shares AS (SELECT label, kmer, count / CAST(sum(count) OVER (PARTITION BY label) AS DOUBLE) AS x FROM combined
+), dense AS (SELECT a.label AS row_label, b.label AS col_label, coalesce(p.x, 0) AS x, coalesce(q.x, 0) AS y FROM (SELECT DISTINCT label FROM shares) a CROSS JOIN (SELECT DISTINCT label FROM shares) b
+  CROSS JOIN (SELECT DISTINCT kmer FROM shares) k LEFT JOIN shares p ON p.label = a.label AND p.kmer = k.kmer LEFT JOIN shares q ON q.label = b.label AND q.kmer = k.kmer)"""
+
+
 def oracle_sql() -> dict[str, str]:
     passed, kept = "CASE WHEN c >= t THEN {0} ELSE 0.0 END", "greatest(CASE WHEN c >= t THEN c ELSE 0.0 END, 0.1)"
     return {
@@ -212,7 +250,13 @@ SELECT label, kmer, CAST(trunc(round(v, 6)) AS BIGINT) AS count FROM medians WHE
         "ca_distances": f"""{FITTED}, pairs AS (SELECT a.label AS row_label, b.label AS col_label, kmer, r FROM masses a JOIN masses b ON a.label <= b.label CROSS JOIN held
 ) SELECT row_label, col_label, round(sqrt(sum(power(coalesce(x.count / n / a.c, 0) - coalesce(y.count / n / b.c, 0), 2) / r)), 6) AS distance FROM pairs
   JOIN masses a ON a.label = row_label JOIN masses b ON b.label = col_label CROSS JOIN whole LEFT JOIN combined x ON x.label = row_label AND x.kmer = pairs.kmer LEFT JOIN combined y ON y.label = col_label AND y.kmer = pairs.kmer GROUP BY row_label, col_label""",
-        "ca_projection": f"{FITTED} SELECT label, CAST(0.0 AS DOUBLE) AS off FROM masses",
+        "ca_projection": f"""{FITTED}{COMBINED_HOSTS}, known AS (SELECT h.label, h.kmer, h.count / sum(h.count) OVER (PARTITION BY h.label) AS p FROM hosts h JOIN held USING (kmer)
+), seen AS (SELECT k.label, f.label AS class, sum(p * (f.count / n) / r) AS u FROM known k JOIN combined f USING (kmer) JOIN held USING (kmer), whole GROUP BY k.label, f.label
+), pairs AS (SELECT a.label AS row_label, b.label AS col_label, m.label AS class, c FROM (SELECT DISTINCT label FROM known) a JOIN (SELECT DISTINCT label FROM known) b ON a.label <= b.label CROSS JOIN masses m)
+SELECT row_label, col_label, round(sqrt(sum(power(coalesce(x.u, 0) - coalesce(y.u, 0), 2) / c)), 6) AS distance FROM pairs
+  LEFT JOIN seen x ON x.label = row_label AND x.class = pairs.class LEFT JOIN seen y ON y.label = col_label AND y.class = pairs.class GROUP BY row_label, col_label""",
+        "ca_kmers": f"""{FITTED}, profile AS (SELECT kmer, m.label, c, coalesce(f.count, 0) / n / r AS p FROM held CROSS JOIN masses m CROSS JOIN whole LEFT JOIN combined f USING (kmer, label))
+SELECT kmer, round(sum(power(p - c, 2) / c), 6) AS chi2 FROM profile GROUP BY kmer""",
         "kmers_threshold": f"{BY_CLASS}, k AS (SELECT kmer, sum(count) AS s, count(*) AS spectra FROM combined GROUP BY kmer) SELECT kmer, spectra FROM k WHERE s >= 0.1 * (SELECT max(s) FROM k)",
         "kmers_normalised": f"{BY_CLASS} SELECT label, kmer, round(count / CAST(sum(count) OVER (PARTITION BY label) AS DOUBLE), 9) AS value FROM combined",
         "project_spectra": f"""WITH {CELLS}, base AS (SELECT upper(trim(kmer, {BLANKS})) AS k, weights FROM twister WHERE kmer IS NOT NULL AND weights IS NOT NULL
@@ -242,7 +286,7 @@ SELECT a.label AS row_label, b.label AS col_label, round(CASE WHEN a.label = b.l
 SELECT label, class_name AS predicted, round(votes / CAST(sum(votes) OVER (PARTITION BY label) AS DOUBLE), 6) AS share FROM votes QUALIFY row_number() OVER (PARTITION BY label ORDER BY votes DESC, first) = 1""",
         "related_300": f"WITH {POINT_PAIRS}, near AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY distance) AS tied, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rank FROM d) SELECT label, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) AS distance FROM near WHERE tied <= 300",
         "gaps_splits": f"WITH {VECTORS}, {GAPS.format('latest')} SELECT CAST(split_id AS INTEGER) AS split_id, dim, round(gap, 6) AS gap, position FROM gaps WHERE split_id <= 10000",
-        "gaps_members": f"WITH {CLASSES}, {GAPS.format('classes')} SELECT CAST(split_id AS INTEGER) AS split_id, label FROM gaps g JOIN places p ON p.dim = g.dim AND p.position <= g.position WHERE split_id <= 100",
+        "gaps_member_ranges": f"WITH {VECTORS}, {GAPS.format('latest')}, ends AS (SELECT dim, max(position) AS last FROM gaps WHERE split_id <= 10000 GROUP BY dim) SELECT dim, position, label FROM places JOIN ends USING (dim) WHERE position <= last",
         "band_join_pairs": "SELECT a.p_partkey AS lo, b.p_partkey AS hi, round(abs(a.p_retailprice - b.p_retailprice), 6) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND b.p_retailprice BETWEEN a.p_retailprice - 0.06 AND a.p_retailprice + 0.06 WHERE abs(a.p_retailprice - b.p_retailprice) <= CAST(0.05 AS DOUBLE)",
         "coordinate_range": "SELECT min(p_retailprice) AS low, max(p_retailprice) AS high FROM part",
         "matrix_transpose": f"WITH {CLASSES}, l AS ({LONG} FROM classes) SELECT 'Dim' || dim AS row, label AS col, round(x + {NUDGE}, 6) AS value FROM l",
@@ -251,6 +295,43 @@ SELECT label, class_name AS predicted, round(votes / CAST(sum(votes) OVER (PARTI
         "matrix_product": f"WITH {CLASSES}, l AS ({LONG} FROM classes) SELECT a.label AS row, b.label AS col, round(sum(a.x * b.x), 6) AS value FROM l a JOIN l b USING (dim) GROUP BY a.label, b.label",
         "label_difference": f"WITH {CELLS}, {META} SELECT label FROM cells EXCEPT SELECT label FROM meta",
         "label_union": f"WITH {CELLS}, {META} SELECT label FROM cells UNION SELECT label FROM meta",
+        "file_spectra_text": f"WITH {CELLS} SELECT label, kmer, count FROM cells",
+        "file_spectra_hex": f"SELECT label, format('{{:x}}', CAST(list_sum(list_transform(range(1, 6), lambda i: (instr('ACGT', kmer[i]) - 1) * CAST(power(4, 5 - i) AS BIGINT))) AS BIGINT)) AS kmer, count FROM ({_kmers(5, True, 'ds')}) WHERE label IS NOT NULL",
+        "file_metadata": f"WITH {META} SELECT label, coalesce(class_name, '') AS class_name, coalesce(host, '') AS host, coalesce(site, '') AS site FROM meta",
+        "file_database": f"WITH {CELLS}, {META} SELECT label, kmer, count, class_name FROM cells LEFT JOIN meta USING (label)",
+        "file_matrix_text": _vectors_long(),
+        "file_matrix_archive": _vectors_long(),
+        "file_twister_text": _twister_sums(),
+        "file_twister_archive": _twister_sums(),
+        "file_keep_list": f"SELECT DISTINCT trim(kmer, {BLANKS}) AS kmer FROM twister WHERE kmer IS NOT NULL AND trim(kmer, {BLANKS}) <> ''",
+        "file_fasta": _flat_texts("VALUES (0)"),
+        "file_fastq_paired": _flat_texts("VALUES (0), (1)"),
+        "file_distances": "SELECT * FROM (" + EUCLIDEAN.replace("AS n FROM latest, weights", "AS n FROM classes, weights") + " WHERE a.label < b.label) WHERE distance > 0",
+        "file_metrics": "SELECT 'metrics' AS label, dim, round(CAST(1.0 AS DOUBLE) / (SELECT count(*) FROM inertia), 9) AS weight FROM inertia",
+        "file_distill": f"SELECT kmer, InnerAvgMean, OuterAvgMean FROM ({_distill()})",
+        "file_summary": f"{_nearest(2)} SELECT label, round(mean, 6) AS mean, neighbour AS nearest FROM summary WHERE rank = 1",
+        "file_splits": f"WITH {CLASSES}, {GAPS.format('classes')} SELECT CAST(split_id AS INTEGER) AS split_id, round(gap + CAST(1e-7 AS DOUBLE), 5) AS weight, CAST(position AS INTEGER) AS members FROM gaps WHERE split_id <= 100",
+        "table_clr": f"{_host_clr()} SELECT kmer AS name, CAST(place + 1 AS INTEGER) AS \"at\", round(value, 6) AS value FROM dense",
+        "table_clr_transposed": f"{_host_clr()}, k AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS col FROM (SELECT DISTINCT kmer FROM combined)) SELECT label AS name, CAST(col AS INTEGER) AS \"at\", round(value, 6) AS value FROM dense JOIN k USING (kmer)",
+        "table_power": f"{_host_clr()} SELECT kmer AS name, CAST(place AS INTEGER) AS \"at\", round(CASE WHEN count >= 2 THEN CAST(count AS DOUBLE) ELSE 0.0 END, 6) AS value FROM dense",
+        "table_heads": "SELECT * FROM (VALUES (0, chr(9) || 'badger' || chr(9) || 'cattle' || chr(9) || 'human' || chr(9) || 'water'), (1, 'name' || chr(9) || 'BADGER' || chr(9) || 'CATTLE' || chr(9) || 'HUMAN' || chr(9) || 'WATER')) v(part, line)",
+        "table_heads_transposed": "SELECT name, upper(name) AS field FROM (VALUES ('badger'), ('cattle'), ('human'), ('water')) v(name)",
+        "database_listing": f"WITH {CELLS}, {META} SELECT 'spectrum' AS kind, label AS name FROM (SELECT label FROM cells UNION SELECT label FROM meta) UNION ALL SELECT DISTINCT 'kmer', kmer FROM cells UNION ALL SELECT 'field', f FROM (VALUES ('class_name'), ('host'), ('site')) v(f)",
+        "database_empty": "SELECT CAST(0 AS BIGINT) AS spectra, CAST(0 AS BIGINT) AS kmers, '' AS fields",
+        "selection_print": f"WITH {CELLS}, {META} SELECT label FROM (SELECT label FROM cells UNION SELECT label FROM meta) WHERE starts_with(label, 'LB')",
+        "selection_filter": f"WITH {CELLS}, {META} SELECT label, count(*) AS kmers FROM cells WHERE label NOT IN (SELECT label FROM meta WHERE starts_with(coalesce(host, ''), 'human')) GROUP BY label",
+        "combine_large": f"WITH {CELLS.replace('CAST(sum(c) AS BIGINT) AS count', 'CAST(sum(c) AS BIGINT) * 1000000 AS count')}, {META}, all_ AS (SELECT label, 'all' AS into_ FROM meta)" + COMBINED.format(group="into_", source="all_") + " SELECT label, kmer, count FROM combined",
+        "project_vectors": _projected(),
+        "kmers_kept": f"{BY_CLASS}, {TWISTER_KMERS} SELECT label, count(*) AS kmers FROM combined SEMI JOIN tw USING (kmer) GROUP BY label",
+        "kmers_sampled": f"{BY_CLASS} SELECT CAST(floor(count(DISTINCT kmer) * (1.0 / 3)) AS BIGINT) AS kmers, 0 AS unknown FROM combined",
+        "dist_self_symmetric": EUCLIDEAN.replace("AS n FROM latest, weights", "AS n FROM classes, weights"),
+        "dist_infinity": f"WITH {CLASSES} SELECT a.label AS row_label, b.label AS col_label FROM classes a, classes b WHERE a.label < 'm'",
+        "spectral_distances_cosine": f"{_shares()} SELECT row_label, col_label, round(sum((x - y) * (x - y)) / 2, 6) AS distance FROM dense GROUP BY row_label, col_label",
+        "spectral_distances_minkowski": f"{_shares()} SELECT row_label, col_label, round(sum(abs(x - y)), 6) AS distance FROM dense GROUP BY row_label, col_label",
+        "matrix_sparse_vector": f"WITH {VECTORS}, l AS ({LONG} FROM latest) SELECT label AS row, round(sum(x * value), 6) AS value FROM l JOIN inertia USING (dim) WHERE dim <= 3 GROUP BY label",
+        "option_texts": "SELECT * FROM (VALUES ('euclidean', 'euclidean'), ('cosine', 'cosine'), ('minkowski(3)', 'minkowski(3)'), ('minkowski(2.50)', 'minkowski(2.5)'), ('flat', 'flat'), ('powers(1,1,2)', 'powers(1,1,2)'), ('powers(0.50,0.8,2.0)', 'powers(0.5,0.8,2)'), ('pow', 'power(1,1)'), ('CLR(1,1)', 'clr(1,1)'), ('pseudo(2,0.50)', 'pseudocounts(2,0.5)'), ('binary(3,1)', 'binary(3,1)')) v(text, parsed)",
+        "centroid_counts": f"WITH {VECTORS} SELECT 2 * count(*) - 1 AS splits, CAST(0 AS BIGINT) AS empty, count(*) AS leaves FROM latest",
+        "best_k": "WITH c AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM ({_kmers(k, True, 'ds')})" for k in (3, 4, 5)) + "), r AS (SELECT k, label, max(count) / exp(avg(ln(count))) AS ratio FROM c GROUP BY k, label), s AS (SELECT k, min(ratio) AS score FROM r GROUP BY k) SELECT k FROM s ORDER BY score DESC, k LIMIT 1",
         "train_test_split": f"WITH {META} SELECT label, class_name, CASE WHEN row_number() OVER (PARTITION BY class_name ORDER BY label) % 2 = 1 THEN 'train' ELSE 'test' END AS part FROM meta WHERE class_name IS NOT NULL",
         "dedup_first": "SELECT doc_id, file_path FROM documents QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY crawled_at NULLS FIRST, doc_id) = 1",
         "count_by_class": f"WITH {META} SELECT class_name, count(DISTINCT label) AS labels FROM meta GROUP BY class_name",

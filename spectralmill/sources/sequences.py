@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectralmill.errors import MixedInputs, WrongFormat
+from spectralmill.operators.order import place_rows
 
 SCHEMA = "tag string, segm int, seq string"
 
@@ -29,20 +30,20 @@ def read_fasta(spark: SparkSession, paths: str | list[str], whole_header: bool =
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str], segm: int = 0) -> DataFrame:
-    """(tag, segm, seq) of FASTQ files of four-line records.
+    """(tag, segm, seq) of FASTQ files of four-line records; the tag is the first word of the header.
 
-    A file is framed as a whole, by one task, because a quality line may begin like a
-    header; give many files of moderate size. A file whose lines aren't full records fails.
+    A file is read by many tasks. Each line's number in its file comes from the start of its
+    split and its place there, and four lines make a record, because a quality line may
+    begin like a header. A file whose lines aren't full records fails when it is read.
     """
-    files = spark.read.text(paths, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n\\z", "")
-    framed = files.select(F.split(body, "\n").alias("_l"), (body != "").alias("_some")).where("_some").withColumn("_n", F.ceil(F.size("_l") / 4).cast("int"))
-    line = lambda i: F.coalesce(F.get(F.col("_l"), i), F.lit(""))
-    record = lambda i: F.struct(line(i * 4).alias("h"), line(i * 4 + 1).alias("s"), line(i * 4 + 2).alias("p"))
-    each = framed.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), record)).alias("r"))
-    sound = F.col("r.h").startswith("@") & F.col("r.p").startswith("+")
-    tag = F.when(sound, _tag(F.substr(F.col("r.h"), F.lit(2)))).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record: "), F.col("r.h"))))
-    return each.select(tag.alias("tag"), F.lit(segm).alias("segm"), F.col("r.s").alias("seq"))
+    lines = spark.read.text(paths).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    placed = place_rows(lines, ["file"], ["split", "id"], "n")
+    role = lambda i: F.max(F.when((F.col("n") - 1) % 4 == i, F.col("line")))
+    records = placed.groupBy("file", F.floor((F.col("n") - 1) / 4).alias("record")).agg(role(0).alias("h"), role(1).alias("s"), role(2).alias("p"), F.count("*").alias("lines"))
+    records = records.where(~((F.col("lines") == 1) & (F.col("h") == "")))  # an empty line at the end
+    sound = F.col("h").startswith("@") & F.col("p").startswith("+")
+    tag = F.when(sound, _tag(F.substr(F.col("h"), F.lit(2)))).otherwise(F.raise_error(F.concat(F.lit("WrongFormat: no FASTQ record: "), F.col("h"))))
+    return records.select(tag.alias("tag"), F.lit(segm).alias("segm"), F.col("s").alias("seq"))
 
 
 def read_paired_fastq(spark: SparkSession, first: str | list[str], second: str | list[str]) -> DataFrame:
@@ -64,3 +65,16 @@ def read_sequences(spark: SparkSession, fasta: list[str] | None = None, single:
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+def write_fasta(sequences: DataFrame, path: str) -> None:
+    """FASTA text of (tag, seq), one line for each sequence; null tags and sequences are empty."""
+    empty = F.lit("")
+    sequences.select(F.concat(F.lit(">"), F.coalesce("tag", empty), F.lit("\n"), F.coalesce("seq", empty)).alias("value")).write.text(path)
+
+
+def write_fastq(sequences: DataFrame, path: str) -> None:
+    """FASTQ text of (tag, seq) with a quality of I for every base."""
+    empty = F.lit("")
+    seq = F.coalesce("seq", empty)
+    sequences.select(F.concat(F.lit("@"), F.coalesce("tag", empty), F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(seq))).alias("value")).write.text(path)
