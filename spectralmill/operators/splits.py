@@ -15,6 +15,7 @@ from spectralmill.operators.order import place_rows
 from spectralmill.scratch import Scratch
 
 ALGORITHMS = ("gaps", "centroids")
+MOVES = 50  # most moves of a random walk for each point
 
 
 def parse_algorithm(name: str) -> str:
@@ -71,8 +72,9 @@ def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0
 
     The objective is the sum over dimensions of the distance between the sides' means, over
     sqrt(1 + difference of sizes). A move of one point is accepted with the logistic
-    probability of its gain; the walk ends after max(n, 40) rejections in a row. Both sides
-    keep at least one point.
+    probability of its gain; the walk ends after max(n, 40) rejections in a row, or after
+    ``MOVES`` * n moves, because single moves of a large set gain so little that such a row
+    of rejections hardly ever comes. Both sides keep at least one point.
     """
     if not 0 < at_zero <= 1:
         raise InvalidAcceptanceProbabilityAtZero(at_zero)
@@ -92,7 +94,9 @@ def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0
 
     now = best = objective(sums, sizes)
     kept, rejected = side.copy(), 0
-    while rejected < max(n, 40):
+    for _ in range(MOVES * max(n, 40)):
+        if rejected >= max(n, 40):
+            break
         pick = int(rng.integers(n))
         here, there = int(side[pick]), 1 - int(side[pick])
         if sizes[here] == 1:
@@ -115,13 +119,16 @@ def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0
 
 
 MOST_POINTS = 200_000
+SMALL = 4_096  # labels of a set that one task splits down to single labels
+SPLITS = "split_id string, weight double, members array<string>"
 
 
-def centroids(vectors: DataFrame, seed: int = 0, at_zero: float = 0.2, magnification: float = 10.0, depth: int | None = None) -> DataFrame:
+def centroids(vectors: DataFrame, seed: int = 0, at_zero: float = 0.2, magnification: float = 10.0, depth: int | None = None, small: int = SMALL) -> DataFrame:
     """(split_id, weight, members): recursive bipartition; a set of one label is a split of weight 0.
 
-    Each level of the recursion splits all its sets in parallel, one task for each set, and
-    the random numbers of a set depend on ``seed`` and its smallest label only. The random
+    Sets of more than ``small`` labels are split level by level, all sets of a level in
+    parallel; a smaller set is split down to single labels by one task. The random numbers of
+    a set depend on ``seed`` and its smallest label only, so both ways agree. The random
     walk needs a whole set at once; more than ``MOST_POINTS`` labels are refused.
     """
     spark = vectors.sparkSession
@@ -130,23 +137,36 @@ def centroids(vectors: DataFrame, seed: int = 0, at_zero: float = 0.2, magnifica
     if level.count() > MOST_POINTS:
         raise ValueError(f"more than {MOST_POINTS} labels")
 
+    def sides(labels: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, float]:
+        if len(labels) == 1:
+            return np.zeros(1, bool), 0.0
+        return bipartition(points, np.random.default_rng([seed, *labels[0].encode()]), at_zero, magnification)
+
     def split(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("label", kind="stable")
-        if len(rows) == 1:
-            return rows[["label", "coords", "node"]].assign(side=0, weight=0.0)
-        key = [seed, *rows["label"].iloc[0].encode()]
-        side, weight = bipartition(np.stack(rows["coords"]), np.random.default_rng(key), at_zero, magnification)
+        side, weight = sides(rows["label"].to_numpy(), np.stack(rows["coords"]))
         return rows[["label", "coords", "node"]].assign(side=side.astype(int), weight=weight)
 
-    found, done = None, 0
+    def split_all(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("label", kind="stable")
+        labels, points, root = rows["label"].to_numpy(), np.stack(rows["coords"]), rows["node"].iloc[0]
+        open_, out = [(root, np.arange(len(labels)))], []
+        while open_:
+            node, at = open_.pop()
+            side, weight = sides(labels[at], points[at])
+            out.append((node, weight, list(labels[at[~side]])))
+            if len(at) > 1 and (depth is None or len(node) < depth):
+                open_ += [(node + "0", at[~side]), (node + "1", at[side])]
+        return pd.DataFrame(out, columns=["split_id", "weight", "members"])
+
+    found, done = spark.createDataFrame([], SPLITS), 0
     while not level.isEmpty() and (depth is None or done < depth):
-        cut = scratch.save(level.groupBy("node").applyInPandas(split, "label string, coords array<double>, node string, side int, weight double"))
-        splits = cut.groupBy("node").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list(F.when(F.col("side") == F.lit(0), F.col("label")))).alias("members"))
-        found = splits if found is None else found.unionByName(splits)
-        sizes = cut.groupBy("node").agg(F.count("*").alias("n"))
-        level = scratch.save(cut.join(sizes, "node").where("n > 1").select("label", "coords", F.concat("node", F.col("side").cast("string")).alias("node")))
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"))
+        sized = scratch.save(level.join(sizes, "node"))
+        few, many = sized.where(F.col("n") <= small).drop("n"), sized.where(F.col("n") > small).drop("n")
+        cut = scratch.save(many.groupBy("node").applyInPandas(split, "label string, coords array<double>, node string, side int, weight double"))
+        splits = cut.groupBy(F.col("node").alias("split_id")).agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list(F.when(F.col("side") == F.lit(0), F.col("label")))).alias("members"))
+        found = found.unionByName(scratch.save(splits.unionByName(few.groupBy("node").applyInPandas(split_all, SPLITS))))
+        level = scratch.save(cut.select("label", "coords", F.concat("node", F.col("side").cast("string")).alias("node")))
         done += 1
-    if found is None:
-        return spark.createDataFrame([], "split_id string, weight double, members array<string>")
-    return found.withColumnRenamed("node", "split_id")
-
+    return found

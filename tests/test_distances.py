@@ -127,7 +127,9 @@ def test_splits(frame):
     assert side.any() and not side.all() and best > 0
     tree = splits.centroids(df, seed=1).collect()
     assert len(tree) == 2 * len(x) - 1  # a full binary tree; its leaves have weight 0
-    assert [tuple(r) for r in splits.centroids(df, seed=1).orderBy("split_id").collect()] == sorted((tuple(r) for r in tree), key=lambda r: r[0])
+    for options in ({}, {"small": 1}, {"small": 2}):  # by one task, and level by level
+        assert [tuple(r) for r in splits.centroids(df, seed=1, **options).orderBy("split_id").collect()] == sorted((tuple(r) for r in tree), key=lambda r: r[0])
+    assert {r.split_id for r in splits.centroids(df, seed=1, depth=2).collect()} == {r.split_id for r in tree if len(r.split_id) <= 2}
 
 
 def test_member_ranges(frame):
