@@ -307,7 +307,7 @@ def queries() -> dict[str, Query]:
         "spectral_distances_minkowski": q(lambda t: _class_spectra_distances(t, "minkowski(1)", True)),
         "matrix_sparse_vector": q(lambda t: _round(algebra.multiply_sparse_vector(algebra.to_long(t.vectors()), t.table("inertia").where("dim <= 3").select(F.col("name").alias("col"), "value")), 6, "value")),
         "option_texts": q(lambda t: t.spark.createDataFrame([(x, str(kind.parse(x))) for kind, texts in TEXTS for x in texts], "text string, parsed string")),
-        "centroid_counts": q(lambda t: splits.centroids(t.vectors(), seed=5).agg(F.count("*").alias("splits"), F.count_if(F.size("members") == 0).alias("empty"), F.count_if((F.col("weight") == 0) & (F.size("members") == 1)).alias("leaves"))),
+        "centroid_counts": q(lambda t: _centroid_counts(t)),
         "best_k": q(lambda t: workflows.best_k(_by_k(t.sequences()))),
         "random_forest": q(lambda t: _forest(t)),
         "train_test_split": q(lambda t: workflows.train_test_split(_metadata_classes(t).select("label", "class_name"), "class_name")),
@@ -370,6 +370,13 @@ def _infinite(t: Tables) -> DataFrame:
     return distances.cross_distances(t.scratch.save(cut), classes, t.weights(), mismatch="infinity").where(F.col("distance") == float("inf")).select("row_label", "col_label")
 
 
+def _centroid_counts(t: Tables) -> DataFrame:
+    """Number of splits, of those without members, and of those that are split no further."""
+    found = splits.centroids(t.vectors(), seed=5)
+    parents = found.where(F.length("split_id") > 1).select(F.expr("left(split_id, length(split_id) - 1)").alias("split_id")).distinct().withColumn("_inner", F.lit(True))
+    return found.join(parents, "split_id", "left").agg(F.count("*").alias("splits"), F.count_if(F.size("members") == 0).alias("empty"), F.count_if(F.col("_inner").isNull()).alias("leaves"))
+
+
 def _forest(t: Tables) -> DataFrame:
     """Items and those whose class a random forest of the odd labels' vectors gets right."""
     parts = t.scratch.save(workflows.train_test_split(_metadata_classes(t).select("label", "class_name").join(t.vectors(), "label"), "class_name"))
