@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralmill.operators.skew import join_margins
+from spectralmill.scratch import Scratch
 
 
 def distinctive_terms(cells: DataFrame, record: str = "record", term: str = "term", weight: str = "weight") -> DataFrame:
@@ -24,8 +25,9 @@ def distinctive_terms(cells: DataFrame, record: str = "record", term: str = "ter
     rows = cells.select(F.col(record).alias("record"), F.col(term).alias("term"), F.col(weight).alias("weight")).where("record is not null and term is not null and weight > 0")
     of_record = rows.groupBy("record").agg(F.sum("weight").alias("record_total"), F.count("*").alias("terms"))
     of_term = rows.groupBy("term").agg(F.sum("weight").alias("term_total"), F.count("*").alias("holders"))
-    grand = of_record.agg(F.sum("record_total").alias("grand_total")).scalar()
-    records = of_record.agg(F.count("*").alias("records")).scalar()
+    of_record = Scratch(cells.sparkSession, "distinctive").save(of_record)
+    whole = of_record.agg(F.sum("record_total").alias("n"), F.count("*").alias("records")).first()
+    grand, records = F.lit(whole["n"]), F.lit(whole["records"])
     joined = join_margins(join_margins(rows, of_record, "record", "terms"), of_term, "term", "holders")
     n = F.col("grand_total").cast("double")
     row_mass, column_mass = F.col("record_total") / n, F.col("term_total") / n
