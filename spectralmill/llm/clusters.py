@@ -1,35 +1,40 @@
-"""Groups of mutually similar vectors by grid density clustering.
-
-The features are quantised on several shifted grids of wide cells; cells with two or more
-records are dense. In each dense cell the record of the smallest label is the pivot, and the
-records within reach of it are linked to it; what is left over of a cell gets a next pivot.
-Two dense cells of different grids are adjacent if they share records, so the smallest label
-that spreads over pivots and records to convergence names a connected group. In 32
-dimensions a cell has 3 ** 32 neighbours on its own grid, which is why adjacency is by
-shared records and the grids are shifted.
-
-An exact check follows: groups of which any two members are within reach of each other are
-joined, by comparing members (not centers) in overlapping cells, and a group is a cluster
-only if any two of its members are within reach.
+"""Groups of mutually similar vectors, from all pairs within reach.
+
+Space is parted into boxes and balls (``boxes``) in which every pair within reach is counted
+once. The smallest label that spreads over linked labels to convergence names a group, and a
+group is mutual if each of its labels has all others within reach. Vectors are sent in rounds,
+so that what is shuffled at once stays about the size of the input.
+
+Boxes too crowded to be compared as a whole take grid density clustering instead: the features
+are quantised on several shifted grids of wide cells, records are linked to the pivots of their
+cell, groups of which any two members are within reach are joined by comparing members in
+overlapping cells, and groups with such members are checked for mutual reach by comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectralmill.functions.space import array_literal, squared_distance
-from spectralmill.llm.neighbours import _groups, matrix_of, whole_groups
+from spectralmill.llm.boxes import Balls, Boxes, near_pairs, screened
+from spectralmill.llm.neighbours import SAMPLE, _groups, matrix_of, whole_groups
 from spectralmill.operators.skew import join_margins
 from spectralmill.scratch import Scratch
 
 GRIDS = 12
 CELL = 16 / 3  # width of a cell in units of reach
 BLOCK = 2_048
+BALL = 512  # rows of the groups that are looked for as balls, at least
+CROWD = 16  # a box of more blocks than that isn't compared as a whole
+LEAST_ROUND = 1 << 20  # rows that a round may always send
+LINK = "label string, pivot string, degree bigint"
 AXES = 14  # dimensions of the overlapping cells; a row is seated in 2 ** AXES cells at most, in about ten on average
 
 
@@ -239,34 +244,191 @@ def _joined(vectors: DataFrame, named: DataFrame, reach: float, width: float, di
     return scratch.save(named.join(renamed, "comp", "left").select("label", F.coalesce("_new", "comp").alias("comp")))
 
 
+def _sample(vectors: DataFrame, dims: int, count: int, seed: int) -> np.ndarray:
+    share = min(1.0, SAMPLE / max(1, count))
+    part = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "label"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE)
+    return np.concatenate([np.zeros((0, dims)), *(matrix_of(c) for c in part.select("coords").toArrow().column("coords").chunks if len(c))])
+
+
+def _in_balls(balls: Broadcast):
+    """(label, ball, gap) of the rows in balls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ball, gap = balls.value.of(matrix_of(batch.column("coords")))
+            take = np.flatnonzero(ball >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column("label").take(pa.array(take)), pa.array(ball[take].astype(np.int32)), pa.array(gap[take])], names=["label", "ball", "gap"])
+
+    return run
+
+
+def _free_seats(balls: Broadcast, boxes: Broadcast, kept: np.ndarray | None):
+    """(box, label, coords) of the rows in no ball, for the boxes that are kept; (box, n) if none are named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(boxes.value.low), np.int64)
+        for batch in batches:
+            x = matrix_of(batch.column("coords"))
+            free = np.flatnonzero(balls.value.of(x)[0] < 0)
+            row, box = boxes.value.seats(x[free])
+            if kept is None:
+                counts += np.bincount(box, minlength=len(counts))
+                continue
+            take, box = pa.array(free[row[kept[box]]]), box[kept[box]]
+            yield pa.RecordBatch.from_arrays([pa.array(box.astype(np.int32)), batch.column("label").take(take), batch.column("coords").take(take)], names=["box", "label", "coords"])
+        if kept is None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts).astype(np.int32)), pa.array(counts[counts > 0])], names=["box", "n"])
+
+    return run
+
+
+def _box_links(boxes: Broadcast, reach: float):
+    """(label, pivot, degree): pairs within reach that a label has in a box, and the smallest label they connect it with; input sorted by (box, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["box"]):
+            group = table.combine_chunks().to_batches()[0]
+            degree, first = boxes.value.linked_rows(matrix_of(group.column("coords")), group.column("box")[0].as_py(), reach)
+            rows, names = np.flatnonzero(degree), group.column("label")
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), names.take(pa.array(first[rows])), pa.array(degree[rows])], names=["label", "pivot", "degree"])
+
+    return run
+
+
+def _around_balls(balls: Broadcast, reach: float, opened: np.ndarray | None):
+    """(ball, side, label, coords): rows that may have members of another ball within reach, side 1; the members of ``opened`` balls, side 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix_of(batch.column("coords"))
+            ball = balls.value.of(x)[0]
+            if opened is None:
+                row, ball = balls.value.around(x, ball, reach)
+            else:
+                row = np.flatnonzero(opened[ball] & (ball >= 0))
+                ball = ball[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(ball.astype(np.int32)), pa.array(np.full(len(row), int(opened is None), np.int32)), batch.column("label").take(take), batch.column("coords").take(take)], names=["ball", "side", "label", "coords"])
+
+    return run
+
+
+def _ball_pairs(balls: Broadcast, reach: float):
+    """(label, pivot, degree) of members of a ball (side 0) and rows around it (side 1) that are within reach; input sorted by (ball, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["ball", "i", "j"]):
+            group = table.combine_chunks().to_batches()[0]
+            x, side = matrix_of(group.column("coords")), group.column("side").to_numpy()
+            left, right, half, slack = screened(x)
+            members, others, degree = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.zeros(len(x), np.int64)
+            for begin in range(0, len(members) if len(others) else 0, 32):
+                part = members[begin : begin + 32]
+                i, j = near_pairs(left[part], right[others], half[part], x[part], x[others], reach, slack)
+                degree += np.bincount(part[i], minlength=len(x)) + np.bincount(others[j], minlength=len(x))
+            rows = np.flatnonzero(degree)
+            name = balls.value.name[group.column("ball")[0].as_py()]
+            yield pa.RecordBatch.from_arrays([group.column("label").take(pa.array(rows)), pa.array([name] * len(rows), pa.string()), pa.array(degree[rows])], names=["label", "pivot", "degree"])
+
+    return run
+
+
+def _ball_links(vectors: DataFrame, balls: Balls, reach: float, scratch: Scratch) -> list[DataFrame]:
+    """(label, pivot, degree) of all pairs that have a row in a ball; counts the rows of ``balls``."""
+    spark = vectors.sparkSession
+    placed = scratch.save(vectors.mapInArrow(_in_balls(spark.sparkContext.broadcast(balls)), "label string, ball int, gap double"))
+    balls.size = np.zeros(len(balls.centers), np.int64)
+    for r in placed.groupBy("ball").agg(F.count("*").alias("n"), F.max("gap").alias("radius"), F.min("label").alias("name")).collect():
+        balls.size[r.ball], balls.radius[r.ball], balls.name[r.ball] = r.n, r.radius, r.name
+    shared = spark.sparkContext.broadcast(balls)
+    names = spark.createDataFrame([(k, name, int(n)) for k, (name, n) in enumerate(zip(balls.name, balls.size))], "ball int, pivot string, n bigint")
+    links = [placed.join(F.broadcast(names), "ball").select("label", "pivot", (F.col("n") - 1).alias("degree"))]
+    row = "ball int, side int, label string, coords array<double>"
+    around = scratch.save(vectors.mapInArrow(_around_balls(shared, reach, None), row))
+    held = {r.ball: r.n for r in around.groupBy("ball").agg(F.count("*").alias("n")).collect()}
+    if held:
+        opened = np.isin(np.arange(len(balls.size)), list(held))
+        parts = spark.createDataFrame([(k, -(-int(balls.size[k]) // (2 * BLOCK)), -(-n // (2 * BLOCK))) for k, n in held.items()], "ball int, p int, q int")
+        both = vectors.mapInArrow(_around_balls(shared, reach, opened), row).unionByName(around).join(F.broadcast(parts), "ball")
+        member, own = F.col("side") == 0, F.xxhash64("label")
+        every = F.explode(F.sequence(F.lit(0), F.when(member, F.col("q")).otherwise(F.col("p")) - 1))
+        both = both.withColumn("_own", F.pmod(own, F.when(member, F.col("p")).otherwise(F.col("q"))).cast("int")).withColumn("_every", every)
+        both = both.select("ball", F.when(member, F.col("_own")).otherwise(F.col("_every")).alias("i"), F.when(member, F.col("_every")).otherwise(F.col("_own")).alias("j"), "side", "label", "coords")
+        links.append(scratch.save(both.repartition("ball", "i", "j").sortWithinPartitions("ball", "i", "j").mapInArrow(_ball_pairs(shared, reach), LINK)))
+    scratch.drop(around)
+    return links
+
+
+def _mutual(vectors: DataFrame, named: DataFrame, reach: float, dims: int, scratch: Scratch) -> DataFrame:
+    """comp of the groups that have two members beyond reach of each other."""
+    comps, placed = _stats(scratch.save(vectors.join(named, "label")), dims, scratch)
+    # members so near the center that their distance to any other can't exceed reach need no comparison
+    outer = join_margins(placed, comps.select("comp", "n", "radius"), "comp", "n").where(F.col("r") + F.col("radius") > reach - 1e-9)
+    wide = _blocked(outer.select(F.col("comp").alias("one"), F.col("comp").alias("two"), F.lit(0).alias("side"), "label", "coords"), scratch)
+    return scratch.save(wide.mapInArrow(_any_pair(["g", "i", "j"], True, reach), "one string, two string").select(F.col("one").alias("comp")).distinct())
+
+
 def similar_groups(vectors: DataFrame, reach: float, dims: int, grids: int = GRIDS, cell: float = CELL, seed: int = 3, scratch: Scratch | None = None) -> DataFrame:
-    """(label, comp, size, r, mutual): the group of every label.
+    """(label, comp, size, mutual): the group of every label.
 
     ``vectors`` has label (unique, not null) and coords (``dims`` finite numbers). comp is the
-    group's smallest label, size its number of labels, r the label's distance from the
-    group's mean; mutual tells whether any two labels of the group are within ``reach``.
-    Groups are the connected parts of the graph that links labels within reach; the grids only
-    find most links early, and those they overlook are found by ``_touching``, which compares
-    all labels of different groups that can be within reach. An empty table gives an empty result.
+    group's smallest label, size its number of labels; mutual tells whether any two labels of the
+    group are within ``reach``, which is so if each has all others within reach. Groups are the
+    connected parts of the graph that links labels within reach. All such pairs are counted, in
+    rounds that send about as many rows as there are vectors; those of rows in crowded boxes are
+    not counted but found by ``_touching``. An empty table gives an empty result.
     """
-    scratch = scratch or Scratch(vectors.sparkSession, "clusters")
+    scratch = scratch or Scratch(vectors.sparkSession, "clusters", tidy=True)
+    context = vectors.sparkSession.sparkContext
     vectors = vectors.select("label", "coords")
+    count = vectors.count()
+    sample = _sample(vectors, dims, count, seed)
+    share = len(sample) / max(1, count)
+    balls = Balls(sample, reach, BALL * share, seed)
+    near = _ball_links(vectors, balls, reach, scratch) if len(balls.centers) else []
+    boxes = context.broadcast(Boxes(sample[balls.of(sample)[0] < 0], reach, BLOCK * share))
+    balls = context.broadcast(balls)
+    seated = np.zeros(len(boxes.value.low), np.int64)
+    for r in vectors.mapInArrow(_free_seats(balls, boxes, None), "box int, n bigint").groupBy("box").agg(F.sum("n").alias("n")).collect():
+        seated[r.box] = r.n
+    crowded = seated > CROWD * BLOCK
+    run = np.cumsum(np.where(crowded, 0, seated))
+    rounds = -(-int(run[-1]) // max(count, LEAST_ROUND))
+    for k in range(rounds):
+        kept = ~crowded & (seated > 1) & (np.minimum(run * rounds // int(run[-1]), rounds - 1) == k)
+        routed = vectors.mapInArrow(_free_seats(balls, boxes, kept), "box int, label string, coords array<double>").repartition("box").sortWithinPartitions("box", "label")
+        near.append(scratch.save(routed.mapInArrow(_box_links(boxes, reach), LINK)))
     width = max(cell, 2) * reach
-    links = _pivot_links(vectors, _cells(vectors, "label", width, grids, dims, seed), reach, scratch)
-    named = smallest_labels(links, vectors.select("label"), scratch)
-    named = _joined(vectors, named, reach, width, dims, seed, scratch)
-    comps, placed = _stats(scratch.save(vectors.join(named, "label")), dims, scratch)
-    # members so near the center that their distance to any other can't exceed reach need no comparison
-    outer = join_margins(placed, comps.select("comp", "n", "radius"), "comp", "n").where(F.col("r") + F.col("radius") > reach - 1e-9)
-    wide = _blocked(outer.select(F.col("comp").alias("one"), F.col("comp").alias("two"), F.lit(0).alias("side"), "label", "coords"), scratch)
-    broken = wide.mapInArrow(_any_pair(["g", "i", "j"], True, reach), "one string, two string").select(F.col("one").alias("comp")).distinct()
-    judged = scratch.save(comps.select("comp", F.col("n").alias("size")).join(broken.withColumn("_broken", F.lit(True)), "comp", "left").withColumn("mutual", F.col("_broken").isNull()).drop("_broken"))
-    return join_margins(placed.select("label", "comp", "r"), judged, "comp", "size").select("label", "comp", "size", "r", "mutual")
+    hot = None
+    if crowded.any():
+        hot = scratch.save(vectors.mapInArrow(_free_seats(balls, boxes, crowded), "box int, label string, coords array<double>").groupBy("label").agg(F.first("coords").alias("coords")))
+        near.append(_pivot_links(hot, _cells(hot, "label", width, grids, dims, seed), reach, scratch).withColumn("degree", F.lit(0).cast("bigint")))
+        near.append(hot.select("label", F.col("label").alias("pivot"), F.lit(0).cast("bigint").alias("degree")))
+    if not near:
+        near = [vectors.select("label", F.col("label").alias("pivot"), F.lit(0).cast("bigint").alias("degree"))]
+    near = reduce(DataFrame.unionByName, near)
+    degrees = scratch.save(near.select("label", "degree").unionByName(near.select(F.col("pivot").alias("label"), F.lit(0).cast("bigint").alias("degree"))).groupBy("label").agg(F.sum("degree").alias("degree")))
+    named = smallest_labels(near.where("label <> pivot").select("label", "pivot"), degrees, scratch)
+    if hot is not None:
+        named = _joined(hot, named, reach, width, dims, seed, scratch)
+    linked = scratch.save(named.join(degrees, "label"))
+    judged = linked.groupBy("comp").agg(F.count("*").alias("size"), (F.min("degree") == F.count("*") - 1).alias("mutual"))
+    if hot is not None:
+        heavy = scratch.save(named.join(hot.select("label"), "label").select("comp").distinct())
+        broken = _mutual(vectors, named.join(heavy, "comp", "left_semi"), reach, dims, scratch)
+        judged = judged.join(heavy.withColumn("_heavy", F.lit(True)), "comp", "left").join(broken.withColumn("_broken", F.lit(True)), "comp", "left")
+        judged = judged.select("comp", "size", F.when(F.col("_heavy"), F.col("_broken").isNull()).otherwise(F.col("mutual")).alias("mutual"))
+    found = join_margins(linked.select("label", "comp"), judged, "comp", "size")
+    alone = vectors.select("label").join(linked.select("label"), "label", "left_anti")
+    return found.select("label", "comp", "size", "mutual").unionByName(alone.select("label", F.col("label").alias("comp"), F.lit(1).cast("bigint").alias("size"), F.lit(True).alias("mutual")))
 
 
 def describe_groups(groups: DataFrame, vectors: DataFrame, reach: float, dims: int, typical: int = 3, grids: int = GRIDS, cell: float = CELL, seed: int = 3) -> DataFrame:
     """(comp, size, typical): of every group its size and the members of its densest cell that are nearest to its mean."""
-    cells = _cells(vectors.join(groups.select("label"), "label", "left_semi"), "label", cell * reach, grids, dims, seed).join(groups.select("label", "comp", "size", "r"), "label")
+    scratch = Scratch(vectors.sparkSession, "described", tidy=True)
+    _, placed = _stats(scratch.save(vectors.join(groups.select("label", "comp"), "label")), dims, scratch)
+    sizes = groups.select("label", "size").join(placed.select("label", "comp", "r"), "label")
+    cells = _cells(vectors.join(groups.select("label"), "label", "left_semi"), "label", cell * reach, grids, dims, seed).join(sizes, "label")
     density = cells.groupBy("comp", "cell").agg(F.count("*").alias("held"))
     densest = density.groupBy("comp").agg(F.max(F.struct("held", "cell")).alias("top")).select("comp", F.col("top.cell").alias("cell"))
     inside = cells.join(densest, ["comp", "cell"], "left_semi").withColumn("_rank", F.expr("row_number() over (partition by comp order by r, label)")).where(F.col("_rank") <= typical)

@@ -71,7 +71,7 @@ def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scratch = Scratch(spark, "clusters")
+    scratch = Scratch(spark, "clusters", tidy=True)
     vectors = scratch.save(latest_vectors(_read(spark, sf_dir, "twisted")))
     return similar_groups(vectors, REACH, 32, scratch=scratch).where("mutual and size >= 5"), vectors
 

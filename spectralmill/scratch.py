@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,11 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator call. ``save`` writes and re-reads; ``drop`` removes what is superseded.
 
-    Tables that a returned DataFrame still reads stay until the interpreter exits.
+    Tables that a returned DataFrame still reads stay until the interpreter exits. With ``tidy``
+    the shuffle files of a table go when it is written, not when the driver collects its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
@@ -44,7 +47,14 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        try:
+            if self.tidy:
+                self.spark.conf.set(CLEANUP, "true")
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back

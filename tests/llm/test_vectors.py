@@ -157,3 +157,53 @@ def test_groups_that_touch_away_from_their_pivots(frame):
     assert (np.linalg.norm(m[:82, None] - m[None, :82], axis=2)[:41, 41:] <= 1.5).sum() == 1
     result = similar_groups(frame(list(x.items()), VEC), 1.5, 32)
     assert result.where("mutual").count() == 0 and result.select("comp").distinct().count() == 12
+
+
+def test_clusters_of_balls_crowded_boxes_and_rounds(frame, monkeypatch):
+    """Rows in balls, around balls, in plain boxes of several rounds and in crowded boxes give the groups of brute force."""
+    from spectralmill.llm import boxes, clusters
+
+    rng = np.random.default_rng(21)
+    x = []
+    for g in range(40):
+        center, size = rng.normal(size=6) * 3, (90, 12, 6, 5, 1)[g % 5]
+        x += [center + v for v in rng.normal(size=(size, 6)) * (0.12, 0.2, 0.1, 0.3, 0.1)[g % 5]]
+        if g % 10 == 0:  # a row within reach of all, of some and of none of a ball's members
+            x += [center + np.eye(6)[0] * d for d in (0.9, 1.5, 2.4)]
+    x += list(np.array([25.0] * 6) + rng.normal(size=(500, 6)) * 0.6)  # one crowd, not mutual
+    x = np.array(x)[rng.permutation(len(x))]
+    names = [f"v{i:04d}" for i in range(len(x))]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) <= 1.5
+    want = set()
+    for i in range(len(x)):
+        members = np.flatnonzero(d[i])
+        if len(members) >= 5 and (d[members] == d[i]).all():
+            want |= {(names[members[0]], names[j]) for j in members}
+    vectors = frame([(n, v.tolist()) for n, v in zip(names, x)], VEC)
+    monkeypatch.setattr(clusters, "BLOCK", 24)
+    monkeypatch.setattr(clusters, "BALL", 60)
+    monkeypatch.setattr(clusters, "LEAST_ROUND", 1)
+    seen = {}
+    for crowd in (8, 1000):
+        monkeypatch.setattr(clusters, "CROWD", crowd)
+        found = similar_groups(vectors, 1.5, 6)
+        seen[crowd] = {(r.comp, r.label, r.size) for r in found.collect()}
+        assert {(r.comp, r.label) for r in found.where("mutual and size >= 5").collect()} == want
+    assert seen[8] == seen[1000] and len(seen[8]) == len(x)
+    balls = boxes.Balls(x, 1.5, 60, 3)
+    assert len(balls.centers) and 0 < (balls.of(x)[0] >= 0).sum() < len(x)
+
+
+def test_clusters_send_vectors_few_times(frame, spark):
+    """What is shuffled is a few times the vectors, and its files go with each step."""
+    rng = np.random.default_rng(22)
+    centers = rng.normal(size=(700, 32)) * 2
+    x = np.concatenate([c + rng.normal(size=(12, 32)) * 0.1 for c in centers])
+    vectors = frame([(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)], VEC)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    written = lambda: executors(False).apply(0).totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    assert similar_groups(vectors, 1.5, 32).where("mutual and size >= 5").count() == len(x)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 4 * x.nbytes
