@@ -179,7 +179,8 @@ class Balls:
                         break
                     center = sample[rows].mean(0)
                 else:
-                    centers.append(center)
+                    if all(np.linalg.norm(center - c) > reach for c in centers):  # so a row is in one ball at most
+                        centers.append(center)
                     free &= np.sqrt(((sample - center) ** 2).sum(1)) > reach
                 free[p] = False
         self.centers = np.array(centers).reshape(len(centers), sample.shape[1])
@@ -204,7 +205,8 @@ class Balls:
         for begin in range(0, len(x) if len(self.centers) else 0, 1024):
             part = x[begin : begin + 1024]
             d2 = np.einsum("ij,ij->i", part, part)[:, None] + self.square - 2 * (part @ self.centers.T)
-            row, other = np.nonzero((d2 <= bound**2 + 1e-6) & (self.size > 0))
+            slack = 1e-6 + 1e-9 * float(d2.max() + self.square.max())
+            row, other = np.nonzero((d2 <= bound**2 + slack) & (self.size > 0))
             own = ball[begin + row]
             asked = (own < 0) | (own > other)
             rows.append(begin + row[asked])
