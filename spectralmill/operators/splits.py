@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralmill.errors import InsufficientElements, InvalidAcceptanceProbabilityAtZero, InvalidDifferenceMagnificationFactor, InvalidKeepAtMost, UnknownAlgorithm
 from spectralmill.operators.order import place_rows
+from spectralmill.operators.walks import mixed, walk, walk_together
 from spectralmill.scratch import Scratch
 
 ALGORITHMS = ("gaps", "centroids")
-MOVES = 50  # most moves of a random walk for each point
 
 
 def parse_algorithm(name: str) -> str:
@@ -67,60 +69,65 @@ def member_ranges(vectors: DataFrame, splits: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(last), "dim").where("position <= _last").select("dim", "position", "label")
 
 
+def _check(at_zero: float, magnification: float) -> None:
+    if not 0 < at_zero <= 1:
+        raise InvalidAcceptanceProbabilityAtZero(at_zero)
+    if magnification <= 0:
+        raise InvalidDifferenceMagnificationFactor(magnification)
+
+
 def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0.2, magnification: float = 10.0) -> tuple[np.ndarray, float]:
     """Sides (True, False) of the points and the objective of the best split found by a random walk.
 
     The objective is the sum over dimensions of the distance between the sides' means, over
     sqrt(1 + difference of sizes). A move of one point is accepted with the logistic
     probability of its gain; the walk ends after max(n, 40) rejections in a row, or after
-    ``MOVES`` * n moves, because single moves of a large set gain so little that such a row
+    ``walks.MOVES`` * n moves, because single moves of a large set gain so little that such a row
     of rejections hardly ever comes. Both sides keep at least one point.
     """
-    if not 0 < at_zero <= 1:
-        raise InvalidAcceptanceProbabilityAtZero(at_zero)
-    if magnification <= 0:
-        raise InvalidDifferenceMagnificationFactor(magnification)
-    n = len(points)
-    if n < 2:
-        raise InsufficientElements(n)
-    side = rng.random(n) < 0.5
-    if side.all() or not side.any():
-        side[rng.integers(n)] ^= True
-    odds = (1 - at_zero) / at_zero
-    sums, sizes = np.stack([points[~side].sum(0), points[side].sum(0)]), np.array([(~side).sum(), side.sum()], float)
-
-    def objective(s: np.ndarray, c: np.ndarray) -> float:
-        return float(np.abs(s[0] / c[0] - s[1] / c[1]).sum() / math.sqrt(1 + abs(c[0] - c[1])))
-
-    now = best = objective(sums, sizes)
-    kept, rejected = side.copy(), 0
-    for _ in range(MOVES * max(n, 40)):
-        if rejected >= max(n, 40):
-            break
-        pick = int(rng.integers(n))
-        here, there = int(side[pick]), 1 - int(side[pick])
-        if sizes[here] == 1:
-            rejected += 1
-            continue
-        moved, counts = sums.copy(), sizes.copy()
-        moved[here] -= points[pick]
-        moved[there] += points[pick]
-        counts[here] -= 1
-        counts[there] += 1
-        then = objective(moved, counts)
-        if rng.random() <= 1 / (1 + odds * math.exp(min(700.0, -magnification * (then - now)))):
-            rejected, now, sums, sizes = 0, then, moved, counts
-            side[pick] ^= True
-            if now > best:
-                best, kept = now, side.copy()
-        else:
-            rejected += 1
-    return kept, best
-
-
-MOST_POINTS = 200_000
-SMALL = 4_096  # labels of a set that one task splits down to single labels
+    _check(at_zero, magnification)
+    if len(points) < 2:
+        raise InsufficientElements(len(points))
+    return walk(points, rng, at_zero, magnification)
+
+
+SMALL = 32_768  # labels of a set that one task splits down to single labels
+TOGETHER = 384  # points of a set that is walked together with others
+BATCH = 16_384
 SPLITS = "split_id string, weight double, members array<string>"
+CUT = "label string, coords array<double>, node string, n bigint, side int, weight double"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[str, pa.Array, np.ndarray]:
+    """Node, labels in order and points of a set; the points are there twice for a moment, and only as numbers."""
+    nodes, labels, parts = set(), [], []
+    for batch in batches:
+        nodes.update(batch.column("node")[:1].to_pylist())
+        labels.append(batch.column("label"))
+        parts.append(batch.column("coords").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+    points = np.concatenate(parts)
+    del parts
+    names = pa.chunked_array(labels).combine_chunks()
+    order = pc.sort_indices(names).to_numpy()
+    return nodes.pop(), names.take(pa.array(order)), points.take(order, 0)
+
+
+def _keys(names: pa.Array, seed: int) -> np.ndarray:
+    return mixed(pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False) + np.uint64(seed % 2**64))
+
+
+def _bipartitions(points: np.ndarray, counts: np.ndarray, keys: np.ndarray, at_zero: float, magnification: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sides of all points and weights of the sets, whose points follow each other; keys are those of the sets' first labels."""
+    sides, weights = np.zeros(len(points), bool), np.zeros(len(counts))
+    keys, starts = mixed(keys + counts.astype(np.uint64)), counts.cumsum() - counts
+    for i in np.flatnonzero(counts > TOGETHER):
+        own = slice(starts[i], starts[i] + counts[i])
+        sides[own], weights[i] = bipartition(points[own], np.random.default_rng(int(keys[i])), at_zero, magnification)
+    few = (counts > 1) & (counts <= TOGETHER)
+    if few.any():
+        within = np.repeat(few, counts)
+        sides[within], weights[few] = walk_together(points[within], counts[few], keys[few], at_zero, magnification)
+    return sides, weights
 
 
 def centroids(vectors: DataFrame, seed: int = 0, at_zero: float = 0.2, magnification: float = 10.0, depth: int | None = None, small: int = SMALL) -> DataFrame:
@@ -128,45 +135,58 @@ def centroids(vectors: DataFrame, seed: int = 0, at_zero: float = 0.2, magnifica
 
     Sets of more than ``small`` labels are split level by level, all sets of a level in
     parallel; a smaller set is split down to single labels by one task. The random numbers of
-    a set depend on ``seed`` and its smallest label only, so both ways agree. The random
-    walk needs a whole set at once; more than ``MOST_POINTS`` labels are refused.
+    a set depend on ``seed``, its smallest label and its size only, so both ways agree. A set's
+    random walk is in one task, which holds the set's points and labels and nothing else.
     """
+    _check(at_zero, magnification)
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "centroids")
+    scratch = Scratch(spark, "centroids", tidy=True)
     level = scratch.save(vectors.where("label is not null and coords is not null").select("label", F.col("coords").cast("array<double>").alias("coords"), F.lit("0").alias("node")))
-    if level.count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} labels")
-
-    def sides(labels: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, float]:
-        if len(labels) == 1:
-            return np.zeros(1, bool), 0.0
-        return bipartition(points, np.random.default_rng([seed, *labels[0].encode()]), at_zero, magnification)
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("label", kind="stable")
-        side, weight = sides(rows["label"].to_numpy(), np.stack(rows["coords"]))
-        return rows[["label", "coords", "node"]].assign(side=side.astype(int), weight=weight)
-
-    def split_all(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("label", kind="stable")
-        labels, points, root = rows["label"].to_numpy(), np.stack(rows["coords"]), rows["node"].iloc[0]
-        open_, out = [(root, np.arange(len(labels)))], []
-        while open_:
-            node, at = open_.pop()
-            side, weight = sides(labels[at], points[at])
-            out.append((node, weight, list(labels[at[~side]])))
-            if len(at) > 1 and (depth is None or len(node) < depth):
-                open_ += [(node + "0", at[~side]), (node + "1", at[side])]
-        return pd.DataFrame(out, columns=["split_id", "weight", "members"])
+    whole = level.count()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, names, points = _read(batches)
+        counts = np.array([len(points)])
+        side, weight = _bipartitions(points, counts, _keys(names[:1], seed), at_zero, magnification)
+        sizes = np.array([(~side).sum(), side.sum()])
+        for i in range(0, len(points), BATCH):
+            part, there = points[i : i + BATCH], side[i : i + BATCH].astype(np.int32)
+            rows = len(part)
+            coords = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * points.shape[1]), pa.array(part.ravel()))
+            columns = [names[i : i + BATCH], coords, pa.array([node] * rows, pa.string()), pa.array(sizes[there]), pa.array(there), pa.array(np.full(rows, weight[0]))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "coords", "node", "n", "side", "weight"])
+
+    def split_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, names, points = _read(batches)
+        keys = _keys(names, seed)
+        nodes, at, counts = [node], np.arange(len(points)), np.array([len(points)])
+        while len(nodes):
+            side, weights = _bipartitions(points[at], counts, keys[at[counts.cumsum() - counts]], at_zero, magnification)
+            child = 2 * np.repeat(np.arange(len(counts)), counts) + side
+            sizes = np.bincount(child, minlength=2 * len(counts))
+            members = pa.ListArray.from_arrays(pa.array(np.append(0, sizes[::2].cumsum()).astype(np.int32)), names.take(pa.array(at[~side])))
+            found = pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(weights), members], ["split_id", "weight", "members"])
+            yield from (found[i : i + BATCH] for i in range(0, len(nodes), BATCH))
+            inner = counts > 1 if depth is None or len(nodes[0]) < depth else np.zeros(len(counts), bool)
+            at = at[child.argsort(kind="stable")][np.repeat(inner, counts)]
+            counts = sizes.reshape(-1, 2)[inner].ravel()
+            nodes = [nodes[i] + side for i in np.flatnonzero(inner) for side in "01"]
 
     found, done = spark.createDataFrame([], SPLITS), 0
-    while not level.isEmpty() and (depth is None or done < depth):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"))
-        sized = scratch.save(level.join(sizes, "node"))
-        few, many = sized.where(F.col("n") <= small).drop("n"), sized.where(F.col("n") > small).drop("n")
-        cut = scratch.save(many.groupBy("node").applyInPandas(split, "label string, coords array<double>, node string, side int, weight double"))
-        splits = cut.groupBy(F.col("node").alias("split_id")).agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list(F.when(F.col("side") == F.lit(0), F.col("label")))).alias("members"))
-        found = found.unionByName(scratch.save(splits.unionByName(few.groupBy("node").applyInPandas(split_all, SPLITS))))
-        level = scratch.save(cut.select("label", "coords", F.concat("node", F.col("side").cast("string")).alias("node")))
-        done += 1
+    many, few = (level, None) if whole > small else (None, level)
+    while (many is not None or few is not None) and (depth is None or done < depth):
+        if few is not None:
+            found = found.unionByName(scratch.save(few.groupBy("node").applyInArrow(split_all, SPLITS)))
+        if many is None:
+            break
+        cut = scratch.save(many.groupBy("node").applyInArrow(split, CUT))
+        scratch.drop(level)
+        members = F.array_sort(F.collect_list(F.when(F.col("side") == F.lit(0), F.col("label")))).alias("members")
+        found = found.unionByName(scratch.save(cut.groupBy(F.col("node").alias("split_id")).agg(F.max("weight").alias("weight"), members)))
+        level, done = cut, done + 1
+        sets = cut.select("label", "coords", F.concat("node", F.col("side").cast("string")).alias("node"), "n")
+        most, least = cut.agg(F.max("n"), F.min("n")).first()
+        many = sets.where(F.col("n") > small).drop("n") if most > small else None
+        few = sets.where(F.col("n") <= small).drop("n") if least <= small else None
+    scratch.drop(level)
     return found

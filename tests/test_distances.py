@@ -157,3 +157,61 @@ def test_split_queries_take_all_labels(spark):
     labels = ranges.select("label").distinct().count()
     nodes = run("centroid_splits").select("split_id").count()
     assert nodes >= labels - 1 > 60
+
+
+@pytest.mark.parametrize("n", [3, 41, 60, 301, 700])
+def test_walk_equals_single_moves(n):
+    """A walk in windows accepts what one move after the other would, with the same random numbers."""
+    from spectralmill.operators import walks
+
+    points = np.random.default_rng(n).normal(size=(n, 5)).round(3) * 2
+    kept, best = walks.walk(points, np.random.default_rng(7), 0.2, 10.0)
+    rng, moves = np.random.default_rng(7), 50 * max(n, 40)
+    side = rng.random(n) < 0.5
+    if side.all() or not side.any():
+        side[rng.integers(n)] ^= True
+    picks, least = rng.integers(n, size=moves), walks.least_gains(rng.random(moves), 0.2, 10.0)
+
+    def objective(s):
+        return np.abs(points[s].mean(0) - points[~s].mean(0)).sum() / np.sqrt(1 + abs(2 * s.sum() - n))
+
+    now, rejected, top = objective(side), 0, (objective(side), side.copy())
+    for pick, need in zip(picks, least, strict=True):
+        if rejected == max(n, 40):
+            break
+        side[pick] ^= True
+        then = objective(side) if side.any() and not side.all() else -np.inf
+        if then - now >= need:
+            now, rejected = then, 0
+            top = (now, side.copy()) if now > top[0] + 1e-12 else top
+        else:
+            side[pick] ^= True
+            rejected += 1
+    assert best == pytest.approx(top[0])
+    assert (kept == top[1]).all()
+
+
+def test_walks_together_equal_walks_alone():
+    from spectralmill.operators import walks
+
+    rng = np.random.default_rng(1)
+    counts, points = np.array([2, 3, 40, 7, 2, 101]), rng.normal(size=(155, 4)) * 2
+    keys = rng.integers(1 << 63, size=6).astype(np.uint64)
+    sides, best = walks.walk_together(points, counts, keys, 0.2, 10.0)
+    at = 0
+    for i, n in enumerate(counts):
+        own, side = points[at : at + n], sides[at : at + n]
+        alone, weight = walks.walk_together(own, counts[i : i + 1], keys[i : i + 1], 0.2, 10.0)
+        assert (alone == side).all() and weight[0] == best[i] and side.any() and not side.all()
+        assert best[i] == pytest.approx(np.abs(own[side].mean(0) - own[~side].mean(0)).sum() / np.sqrt(1 + abs(2 * side.sum() - n)))
+        at += n
+
+
+def test_centroids_of_more_than_200000_labels(spark):
+    """A set of any size is split; once, more than 200,000 labels were refused."""
+    from pyspark.sql import functions as F
+
+    n = 200_001
+    df = spark.range(n).select(F.col("id").cast("string").alias("label"), F.array((F.col("id") % 7).cast("double")).alias("coords"))
+    (row,) = splits.centroids(df, seed=1, depth=1).collect()
+    assert row.split_id == "0" and 0 < len(row.members) < n and row.weight > 0
