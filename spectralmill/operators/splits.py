@@ -91,8 +91,8 @@ def bipartition(points: np.ndarray, rng: np.random.Generator, at_zero: float = 0
     return walk(points, rng, at_zero, magnification)
 
 
-SMALL = 32_768  # labels of a set that one task splits down to single labels
-TOGETHER = 384  # points of a set that is walked together with others
+SMALL = 65_536  # labels of a set that one task splits down to single labels
+TOGETHER = 768  # points of a set that is walked together with others
 BATCH = 16_384
 SPLITS = "split_id string, weight double, members array<string>"
 CUT = "label string, coords array<double>, node string, n bigint, side int, weight double"

@@ -23,7 +23,7 @@ def least_gains(u: np.ndarray, at_zero: float, magnification: float) -> np.ndarr
     """What a move has to gain to be accepted, for uniform numbers in [0, 1): u <= 1 / (1 + odds exp(-magnification gain)) solved for the gain."""
     with np.errstate(divide="ignore"):
         if at_zero == 1:
-            return np.full(len(u), -np.inf)
+            return np.full(u.shape, -np.inf)
         return (math.log((1 - at_zero) / at_zero) - np.log(1 / u - 1)) / magnification
 
 
@@ -161,38 +161,44 @@ def walk_together(points: np.ndarray, counts: np.ndarray, keys: np.ndarray, at_z
     total = np.add.reduceat(points, starts)
     sums = np.add.reduceat(points * ~side[owner, inner][:, None], starts)
 
-    def objectives(first: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
-        n = counts[sets]
+    def objectives(first: np.ndarray, sizes: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
         others = 1 / (n - sizes)
         gaps = first * (1 / sizes + others)[:, None]
-        gaps -= others[:, None] * total[sets]
+        gaps -= others[:, None] * whole
         return np.abs(gaps, out=gaps).sum(1) / np.sqrt(1 + np.abs(2 * sizes - n))
 
-    now = objectives(sums, size, np.arange(len(counts)))
-    best, kept, rejected = now.copy(), side.copy(), np.zeros(len(counts), int)
+    now = objectives(sums, size, counts, total)
+    best, kept, made = now.copy(), side.copy(), 0
+    live = np.flatnonzero(counts > 2)  # two points have no move
     limit = np.maximum(counts, LEAST)
-    live, made = np.flatnonzero(counts > 2), 0  # two points have no move
+    state = [x[live] for x in (counts, starts, total, limit, MOVES * limit, sums, size, now, side, np.zeros(len(counts), int))]
     while len(live):
-        made += 1
-        n, z = counts[live], drawn(live, np.full(len(live), made))
-        pick = ((z >> half) * n.astype(np.uint64) >> half).astype(int)
-        need = least_gains(((z & low) + 0.5) / 2.0**32, at_zero, magnification)
-        sign = np.where(side[live, pick], 1, -1)
-        then = size[live] + sign
-        valid = (then > 0) & (then < n)
-        then[~valid] = 1
-        moved = points.take(starts[live] + pick, 0)
-        moved *= sign[:, None]
-        moved += sums.take(live, 0)
-        reached = objectives(moved, then, live)
-        rejected[live] += 1
-        taken = np.flatnonzero(valid & (reached - now[live] >= need))
-        sets = live[taken]
-        sums[sets], size[sets], now[sets], rejected[sets] = moved[taken], then[taken], reached[taken], 0
-        side[sets, pick[taken]] ^= True
-        better = sets[now[sets] > best[sets]]
-        best[better], kept[better] = now[better], side[better]
-        over = (rejected[live] >= limit[live]) | (made >= MOVES * limit[live])
-        if over.any():
-            live = live[~over]
+        n, start, whole, most, end, sums, size, now, side, rejected = state
+        ahead = min(64, max(1, CHUNK // len(live)))
+        z = mixed(keys[live] + (made + 1 + np.arange(ahead))[:, None].astype(np.uint64) * step)
+        picks = ((z >> half) * n.astype(np.uint64) >> half).astype(int)
+        least = least_gains(((z & low) + 0.5) / 2.0**32, at_zero, magnification)
+        rows, ended = np.arange(len(live)), 0
+        for pick, need in zip(picks, least, strict=True):
+            made += 1
+            sign = np.where(side[rows, pick], 1, -1)
+            then = (size + sign).clip(1, n - 1)
+            moved = points.take(start + pick, 0)
+            moved *= sign[:, None]
+            moved += sums
+            reached = objectives(moved, then, n, whole)
+            rejected += 1
+            taken = np.flatnonzero((reached - now >= need) & (then != size))
+            if len(taken):
+                sums[taken], size[taken], now[taken], rejected[taken] = moved[taken], then[taken], reached[taken], 0
+                side[taken, pick[taken]] ^= True
+                better = taken[reached[taken] > best[live[taken]]]
+                best[live[better]], kept[live[better]] = reached[better], side[better]
+            over = (rejected >= most) | (end <= made)
+            if (count := np.count_nonzero(over)) > ended:  # those that have ended stay where they are
+                ended, least[:, over] = count, np.inf
+                if 8 * ended > len(live):
+                    break
+        if ended:
+            live, state = live[~over], [x[~over] for x in state]
     return kept[owner, inner], best

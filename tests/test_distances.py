@@ -215,3 +215,17 @@ def test_centroids_of_more_than_200000_labels(spark):
     df = spark.range(n).select(F.col("id").cast("string").alias("label"), F.array((F.col("id") % 7).cast("double")).alias("coords"))
     (row,) = splits.centroids(df, seed=1, depth=1).collect()
     assert row.split_id == "0" and 0 < len(row.members) < n and row.weight > 0
+
+
+def test_centroid_counts_of_more_than_200000_labels(spark, monkeypatch):
+    """The counts of the first two levels; once, the splits behind them were refused."""
+    from functools import partial
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from spectralmill.plans import queries
+
+    vectors = spark.range(200_001).select(F.col("id").cast("string").alias("label"), F.array((F.col("id") % 7).cast("double")).alias("coords"))
+    monkeypatch.setattr(splits, "centroids", partial(splits.centroids, depth=2))
+    assert tuple(queries._centroid_counts(SimpleNamespace(vectors=lambda: vectors)).first()) == (3, 0, 2)
